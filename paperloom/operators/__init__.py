@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Operators over whole tables: joins by similarity, ranking, planning, counting."""

@@ -1,0 +1,165 @@
+"""Exact counts of every distinct term, by recursive radix spilling.
+
+Terms are partitioned by the leading bits of their hash into files of the shared
+folder. A partition over ``max_rows`` is split by the next bits; one that stays
+too large because a single term fills it is split by the hash of the record, and
+its partial counts, over disjoint records, are added up afterwards. Every
+partition is then aggregated out-of-core by DuckDB inside a task. Records
+delivered twice are put together before anything is written, so the spill holds
+each (term, record) once.
+
+Defined cases: null, empty and blank terms are no terms; terms are compared
+without outer blanks, in lower case; rows with one record id are one record and
+their terms count once per record and position (a row delivered again adds
+nothing); all rows without a record id are one record; an empty table has no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import scratch
+
+#: Bits of the hash used at each level.
+RADIX_BITS = 6
+#: Rows that one DuckDB aggregation takes at most before its partition is split.
+MAX_ROWS = 4_000_000
+_BLANKS = r"^[\s\u00A0]+|[\s\u00A0]+$"
+
+
+def clean_term(term: Column) -> Column:
+    return F.lower(F.regexp_replace(term, _BLANKS, ""))
+
+
+def term_records(df: DataFrame, record: str, terms: str) -> DataFrame:
+    """``(term, record, n)``: each term of each record and how often it stands there."""
+    one = df.select(F.col(record).alias("record"), F.col(terms).alias("terms"))
+    per_row = one.select("record", "terms", F.explode("terms").alias("raw")).select(
+        "record", clean_term(F.col("raw")).alias("term"), F.xxhash64("terms").alias("row")
+    )
+    counted = per_row.filter(F.length("term") > 0).groupBy("term", "record", "row").agg(F.count("*").alias("n"))
+    # Deliveries of one record have the same terms; taking the most of any one
+    # row counts a repeated row once. Equal rows were put together above, so
+    # their number is divided out below.
+    repeats = one.groupBy("record", F.xxhash64("terms").alias("row")).agg(F.count("*").alias("deliveries"))
+    return (
+        counted.join(repeats, [counted["row"] == repeats["row"], counted["record"].eqNullSafe(repeats["record"])])
+        .select("term", counted["record"], (F.col("n") / F.col("deliveries")).cast("long").alias("n"))
+        .groupBy("term", "record")
+        .agg(F.max("n").alias("n"))
+    )
+
+
+def _radix(level: int, by: str) -> Column:
+    """Six bits of the 64-bit hash, from the top down."""
+    return F.shiftrightunsigned(F.col(by), 64 - RADIX_BITS * (level + 1)).bitwiseAND((1 << RADIX_BITS) - 1).cast("int")
+
+
+def spill(rows: DataFrame, max_rows: int = MAX_ROWS) -> list[str]:
+    """Write ``(term, record, n)`` as radix partitions of at most ``max_rows`` rows.
+
+    Returns the folders. The driver sees folder names and row counts only, of
+    which there are at most total / max_rows * 64.
+    """
+    spark = rows.sparkSession
+    base = scratch(spark, "radix")
+    hashed = rows.select("term", "record", "n", F.xxhash64("term").alias("h"), F.xxhash64("record", F.lit(7)).alias("rh"))
+    done: list[str] = []
+    todo: list[tuple[DataFrame, str, int, str]] = [(hashed, f"{base}/0", 0, "h")]
+    while todo:
+        part, path, level, by = todo.pop()
+        split = part.withColumn("radix", _radix(level, by))
+        split.repartition("radix", F.pmod("rh", F.lit(4))).write.partitionBy("radix").parquet(path)
+        sizes = (
+            spark.read.schema(split.schema)
+            .parquet(path)
+            .groupBy("radix")
+            .agg(F.count("*").alias("rows"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+            .collect()
+        )
+        for size in sizes:
+            folder = f"{path}/radix={size['radix']}"
+            if size["rows"] <= max_rows or (by == "rh" and level >= 9):
+                done.append(folder)
+                continue
+            again = spark.read.schema(hashed.schema).parquet(folder)
+            one_term = size["lo"] == size["hi"] or (by == "h" and level >= 9)
+            if by == "h" and not one_term:
+                todo.append((again, f"{path}-{size['radix']}", level + 1, "h"))
+            else:
+                todo.append((again, f"{path}-{size['radix']}r", 0 if by == "h" else level + 1, "rh"))
+    return done
+
+
+def _aggregate(spark: SparkSession, folders: list[str], memory: str = "256MB") -> DataFrame:
+    """Each folder aggregated by DuckDB, out of core, in a task of its own."""
+    temp = scratch(spark, "duckdb").removeprefix("file://")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import duckdb
+        import pyarrow.dataset as ds
+        from pyarrow import fs
+
+        for pdf in batches:
+            for folder in pdf["folder"]:
+                files, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+                rows = ds.dataset(path, filesystem=files, format="parquet")  # noqa: F841  DuckDB finds it by name
+                con = duckdb.connect(config={"memory_limit": memory, "threads": 1})
+                if "://" not in folder or folder.startswith("file://"):
+                    con.execute(f"set temp_directory = '{temp}'")
+                yield con.execute(
+                    "select term, sum(n)::bigint as occurrences, count(*)::bigint as records from rows group by term"
+                ).df()
+                con.close()
+
+    if not folders:
+        return spark.createDataFrame([], "term string, occurrences bigint, records bigint")
+    work = spark.createDataFrame([(f,) for f in sorted(folders)], "folder string")
+    tasks = min(len(folders), 4 * spark.sparkContext.defaultParallelism)
+    return work.repartition(tasks).mapInPandas(run, "term string, occurrences bigint, records bigint")
+
+
+def term_frequencies(df: DataFrame, record: str = "note_id", terms: str = "tags", max_rows: int = MAX_ROWS) -> DataFrame:
+    """``(term, occurrences, records)`` for every distinct term."""
+    folders = spill(term_records(df, record, terms), max_rows)
+    return (
+        _aggregate(df.sparkSession, folders)
+        .groupBy("term")
+        .agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+    )
+
+
+def mark_terms(df: DataFrame, record: str = "note_id", terms: str = "tags", least: int = 3, share: int = 8, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Frequencies with ``mark``: ``rare`` below ``least`` records, ``common`` above one ``share``-th of all."""
+    total = df.agg(F.countDistinct(F.struct(record))).first()[0]
+    return term_frequencies(df, record, terms, max_rows).withColumn(
+        "mark",
+        F.when(F.col("records") < least, "rare").when(F.col("records") * share > total, "common"),
+    )
+
+
+def beside_ledger(frequencies: DataFrame, groups: DataFrame) -> DataFrame:
+    """Counts beside those an older ledger holds for the same spelling.
+
+    The ledger's spellings are cleaned like the terms; of a group that was
+    written twice the newest counts, and null counts are no counts.
+    """
+    newest = groups.groupBy("canonical").agg(F.max_by("counts", F.struct(F.col("updated_at").isNotNull(), F.col("updated_at"))).alias("counts"))
+    old = (
+        newest.select("canonical", F.explode("counts").alias("spelling", "n"))
+        .select(clean_term(F.col("spelling")).alias("term"), "n", "canonical")
+        .groupBy("term")
+        .agg(F.sum("n").alias("ledger_count"), F.min("canonical").alias("canonical"))
+    )
+    return frequencies.join(old, "term", "full").select(
+        "term",
+        "canonical",
+        F.coalesce("occurrences", F.lit(0)).alias("occurrences"),
+        F.coalesce("records", F.lit(0)).alias("records"),
+        "ledger_count",
+        "mark",
+    )

@@ -72,3 +72,18 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """
     least = least or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least) if n_partitions(df) < least else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors, once per application."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        root = os.path.dirname(os.path.abspath(__file__))
+        folder = tempfile.mkdtemp(prefix="paperloom-package-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        name = shutil.make_archive(f"{folder}/paperloom", "zip", os.path.dirname(root), os.path.basename(root))
+        spark.sparkContext.addPyFile(name)
+        _SHIPPED.add(app)

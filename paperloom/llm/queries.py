@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from ..session import table
-from . import packing, tokenize
+from . import packing, spans, tokenize
 
 
 def queries() -> dict:
     return {
         "p8_ids": lambda s, d: tokenize.encode_corpus(table(s, d, "documents")),
         "p8_round_trip": lambda s, d: tokenize.round_trip(table(s, d, "documents")),
+        "p10_found": lambda s, d: spans.sharing_pairs(table(s, d, "documents")),
+        "p10_shared": lambda s, d: spans.shared_share(table(s, d, "documents")),
         "p9_containers": lambda s, d: packing.pack_documents(table(s, d, "documents")),
     }
 

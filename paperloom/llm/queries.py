@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from ..session import table
-from . import packing, spans, tokenize
+from . import packing, quality, spans, tokenize
+
+
+def _p4(spark, sf):
+    return quality.text_kinds(table(spark, sf, "extract_results"))
 
 
 def queries() -> dict:
     return {
+        "p4_found": lambda s, d: _p4(s, d).filter("kind in ('list', 'table', 'junk')").select("extract_id", "kind").distinct(),
+        "p4_statistics": _p4,
+        "p4_recorded": lambda s, d: quality.beside_recorded(_p4(s, d), table(s, d, "text_quality")),
         "p8_ids": lambda s, d: tokenize.encode_corpus(table(s, d, "documents")),
         "p8_round_trip": lambda s, d: tokenize.round_trip(table(s, d, "documents")),
         "p10_found": lambda s, d: spans.sharing_pairs(table(s, d, "documents")),

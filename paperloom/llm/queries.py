@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from ..session import table
-from . import packing, quality, spans, tokenize
+from . import language, packing, quality, spans, tokenize
 
 
 def _p4(spark, sf):
     return quality.text_kinds(table(spark, sf, "extract_results"))
 
 
+def _p1(spark, sf):
+    return language.vault_passages(table(spark, sf, "documents"), table(spark, sf, "document_meta"))
+
+
 def queries() -> dict:
     return {
+        "p1_found": lambda s, d: language.unnamed(_p1(s, d)),
+        "p1_languages": lambda s, d: language.main_language(_p1(s, d)),
         "p4_found": lambda s, d: _p4(s, d).filter("kind in ('list', 'table', 'junk')").select("extract_id", "kind").distinct(),
         "p4_statistics": _p4,
         "p4_recorded": lambda s, d: quality.beside_recorded(_p4(s, d), table(s, d, "text_quality")),

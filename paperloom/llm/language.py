@@ -40,6 +40,8 @@ FIT_WORDS = 40_000
 BROADCAST_HOSTS = 50_000
 #: Characters that a reported passage has at least.
 LEAST_CHARS = 120
+#: Confidence that a reported passage has at least.
+SURE = 0.98
 #: Strength of the parent's share in a child's host prior, in rows.
 SMOOTHING = 20.0
 #: How often a label is right, as evidence.
@@ -153,41 +155,45 @@ def declared(label: str):
     return one(F.col(label))
 
 
-def sentences(text: str) -> list[tuple[int, str]]:
-    """``(paragraph, sentence)`` of the running lines; items, cells and noise are left out.
+def sentences(text: str) -> list[tuple[bool, str]]:
+    """``(running, sentence)`` of a text without its items, cells and noise.
 
-    A short line that stands alone (a title, an address) is a sentence of its own.
+    Sentences of a block that is mostly short lines (titles, addresses, bare
+    lists) are not running.
     """
     text = _JOIN.sub("", text.replace("\r\n", "\n").replace("\r", "\n"))
     flows = len(_SENTENCE.findall(text)) >= 1
     suspect = False
     found = []
-    for number, paragraph in enumerate(_BLANK_LINE.split(text)):
+    for paragraph in _BLANK_LINE.split(text):
         block: list[str] = []
+        long = 0
         for line in paragraph.split("\n"):
             if not line or line.isspace():
                 continue
             layout = line_layout(line, suspect, flows)
             if layout == 2 or layout == 3:
                 block.append(line.strip())
+                long += (layout == 2) * len(line)
             elif block:
-                found += _cut(number, " ".join(block))
-                block = []
+                found += _cut(long, block)
+                block, long = [], 0
         if block:
-            found += _cut(number, " ".join(block))
+            found += _cut(long, block)
     return found
 
 
-def _cut(number: int, block: str) -> list[tuple[int, str]]:
+def _cut(long: int, lines: list[str]) -> list[tuple[bool, str]]:
     parts = []
-    for s in _SENTENCE.split(block):
+    running = 2 * long >= sum(map(len, lines))
+    for s in _SENTENCE.split(" ".join(lines)):
         while len(s) > 600:
             at = s.find(" ", 300)
             if at < 0:
                 break
-            parts.append((number, s[:at]))
+            parts.append((running, s[:at]))
             s = s[at + 1 :]
-        parts.append((number, s))
+        parts.append((running, s))
     return parts
 
 
@@ -197,8 +203,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def passages_of(texts: list[str], priors: np.ndarray, labels: list[str | None], model: Model) -> list[list[tuple]]:
-    """For each text its passages ``(language, confidence, chars, known words, sentences)``."""
-    owner, chars, ends, flat, known, para = [], [], [], [], [], []
+    """For each text its passages ``(language, confidence, chars, known words, sentences)``.
+
+    Characters and sentences are those of running sentences of mostly known words.
+    """
+    owner, chars, ends, flat, known, proper = [], [], [], [], [], []
     get, unknown = model.ids.get, model.unknown
     extra = np.zeros((len(texts), len(LANGUAGES)), dtype=np.float32)
     for i, text in enumerate(texts):
@@ -207,12 +216,14 @@ def passages_of(texts: list[str], priors: np.ndarray, labels: list[str | None],
         for code in map(SUFFIXES.get, _SUFFIX.findall(text) if "@" in text or "www." in text else ()):
             if code:
                 extra[i, LANGUAGES.index(code)] += 0.5
-        for number, s in sentences(text):
-            ids = [get(w, unknown) for w in _WORD.findall(s.lower())]
+        for running, s in sentences(text):
+            words = _WORD.findall(s.lower())
+            ids = [get(w, unknown) for w in words]
+            n = len(ids) - ids.count(unknown)
             owner.append(i)
-            para.append(number)
             chars.append(len(s))
-            known.append(len(ids) - ids.count(unknown))
+            known.append(n)
+            proper.append(running and n >= 5 and 2 * n >= len(ids) and 2 * sum(map(len, words)) >= len(s))
             flat += ids
             flat.append(unknown)
             ends.append(len(flat))
@@ -236,8 +247,8 @@ def passages_of(texts: list[str], priors: np.ndarray, labels: list[str | None],
             if known[j] >= 3 or j == i:
                 total += like[j]
                 words += known[j]
-                whole += known[j] >= 4
-            size += chars[j] + (j > i) if known[j] >= 3 else 0
+                whole += proper[j]
+            size += chars[j] + (j > i) if proper[j] else 0
             j += 1
         sure = _softmax(np.clip(total / max(1.0, math.sqrt(max(words, 1)) / 2), -50, 50))
         out[owner[i]].append((LANGUAGES[int(best[i])], float(sure[best[i]]), int(size), int(words), int(whole)))
@@ -300,7 +311,7 @@ def vault_passages(documents: DataFrame, notes: DataFrame) -> DataFrame:
 
 def unnamed(found: DataFrame) -> DataFrame:
     """``(src, row_id, lang)``: languages of long passages that the label does not name."""
-    long = found.filter((F.col("chars") >= LEAST_CHARS) & (F.col("sentences") >= 1))
+    long = found.filter((F.col("chars") >= LEAST_CHARS) & (F.col("sentences") >= 1) & (F.col("confidence") >= SURE))
 
     @F.pandas_udf("boolean")
     def names(labels, codes):

@@ -1,0 +1,354 @@
+"""Linking the spellings of one sender.
+
+Every distinct spelling is cut into folded tokens; forms of address go, legal
+forms get one spelling. Tokens one edit apart are found over a symmetric-delete
+index and a rare token takes the spelling of its frequent neighbour. Spellings
+left with the same tokens are one signature. Signatures that share a rare token
+are aligned by optimal assignment, which permits initials, nicknames, words cut
+short, acronyms and left-out generic words; a signature that fits two others that
+do not fit each other stays alone. Links are closed to classes by propagating the
+least signature.
+
+Blocks hold signatures (not rows, not spellings) that share a token found in at
+most ``RARE`` signatures, or the rarest token they have. Should more than
+``BLOCK`` signatures have the same rarest token, the block is split by the first
+letters of the other tokens, which aligned tokens always share.
+
+Defined cases: null, empty and blank names have no class; repeated names are one
+spelling; a name of signs only is its own class; extra columns are ignored; an
+empty table gives no pairs.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import materialize
+from .symdelete import deletes, edits, fold, shortens
+
+#: Signatures that may share a token for it to open a block of its own.
+RARE = 60
+#: Signatures aligned in one task at most.
+BLOCK = 2_000
+
+#: Forms of address, legal forms and joining words. Fixed values.
+ADDRESS = frozenset("mr mrs ms miss dr prof herr fru frau hr froken mme madame mlle monsieur senor senora dhr mevr".split())
+LEGAL = {
+    "ltd": "ltd", "limited": "ltd", "plc": "plc", "inc": "inc", "llc": "llc", "llp": "llp", "ab": "ab", "aktiebolag": "ab",
+    "aktiebolaget": "ab", "gmbh": "gmbh", "ag": "ag", "kg": "kg", "aps": "aps", "anpartsselskab": "aps", "aktieselskab": "as",
+    "sarl": "sarl", "sas": "sas", "bv": "bv", "nv": "nv", "oy": "oy", "kb": "kb", "hb": "hb",
+}
+JOINING = frozenset("and och og und et of the for de des du la le den det van von der".split())
+#: Short names and the full names they stand for. Fixed values.
+NICKNAMES = {
+    "alex": "alexander alexandra", "tony": "anthony antony", "gittan": "birgitta", "tina": "christina kristina martina", "chris": "christina christopher christian",
+    "stina": "christina kristina", "dan": "daniel", "danny": "daniel", "ed": "edward", "eddie": "edward", "ted": "edward theodore", "ned": "edward",
+    "liz": "elizabeth elisabeth", "beth": "elizabeth elisabeth", "betty": "elizabeth elisabeth", "lisa": "elisabeth elizabeth", "lisbeth": "elisabeth",
+    "bettan": "elisabeth", "figge": "fredrik", "fredde": "fredrik", "fred": "frederick fredrik", "freddy": "fredrik frederick", "goran": "goran", "helen": "helene",
+    "lena": "helene helena", "nacho": "inigo ignacio", "inga": "ingrid", "jojje": "george", "hasse": "johannes hans", "hans": "johannes", "johan": "johannes",
+    "jorgen": "jorg", "kalle": "karl", "charlie": "karl charles", "kate": "katherine catherine", "kathy": "katherine", "katie": "katherine", "kit": "katherine",
+    "lasse": "lars", "greta": "margareta", "maggan": "margareta", "maggie": "margaret margareta", "meg": "margaret", "mike": "michael", "mick": "michael",
+    "micke": "michael mikael", "nisse": "nils", "olle": "olof olov", "pat": "patricia patrick", "trish": "patricia", "tricia": "patricia", "patty": "patricia",
+    "nille": "pernille", "becky": "rebecca", "becca": "rebecca", "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert albert", "sam": "samuel samantha",
+    "sammy": "samuel", "ulla": "ulrika", "ulli": "ulrika", "vicky": "victoria", "vickan": "victoria", "tori": "victoria", "walt": "walter", "wally": "walter",
+    "bill": "william", "will": "william", "billy": "william", "wille": "william", "liam": "william", "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john",
+    "dick": "richard", "rick": "richard", "peggy": "margaret", "jenny": "jennifer", "steve": "steven stephen", "tom": "thomas", "tim": "timothy", "kim": "joakim kimberly",
+    "jocke": "joakim", "pelle": "per peter", "perra": "per", "janne": "jan", "affe": "alfred", "sven": "svante", "bosse": "bo", "nettan": "anette", "annika": "anna",
+    "anki": "annkatrin", "putte": "per", "sussie": "susanne", "maja": "maria", "mia": "maria", "sanna": "susanna", "pia": "maria", "seppo": "josef", "sepp": "josef",
+}
+_DOTTED = re.compile(r"\b(?:\w\.){2,}")
+_TOKEN = re.compile(r"\w+")
+
+
+@lru_cache(maxsize=1)
+def _nicknames() -> dict[str, frozenset[str]]:
+    return {k: frozenset(v.split()) for k, v in NICKNAMES.items()}
+
+
+def _plain(text: str) -> str:
+    text = fold(unicodedata.normalize("NFKC", text))
+    return text.replace("ø", "o").replace("æ", "ae").replace("ß", "ss").replace("đ", "d").replace("ł", "l")
+
+
+def parts(name: str) -> tuple[list[str], str]:
+    """Content tokens in order, and the legal form ('' if none)."""
+    text = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", _plain(name).replace("&", " and ").replace("+", " and ").replace("'", ""))
+    tokens = [t for t in _TOKEN.findall(text.replace("_", " "))]
+    legal = ""
+    content = []
+    for t in tokens:
+        if t in LEGAL and len(tokens) > 1:
+            legal = legal or LEGAL[t]
+        elif t not in ADDRESS and t not in JOINING:
+            content.append(t)
+    return content or tokens, legal
+
+
+def token_cost(a: str, b: str) -> float | None:
+    """What it costs to read token ``a`` as token ``b``, or None."""
+    if a == b:
+        return 0.0
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == 1:
+        return 0.4 if b[0] == a else None
+    nick = _nicknames()
+    if b in nick.get(a, ()) or a in nick.get(b, ()):
+        return 0.3
+    if len(b) - len(a) <= 1 and edits(a, b) <= 1 and (len(a) >= 4 or len(a) == 3 and a[0] == b[0]):
+        return 0.5
+    if len(a) >= 5 and b.startswith(a) and len(b) - len(a) <= 2:
+        return 0.4
+    return 0.45 if shortens(a, b) else None
+
+
+def assign(a: list[str], b: list[str]) -> tuple[float, int, list[int]] | None:
+    """Cheapest way to read every token of ``a`` as a different token of ``b``.
+
+    Returns the cost, how many tokens are equal and which of ``b`` are used. The
+    search keeps, for each set of used tokens, the cheapest way only.
+    """
+    best: dict[int, tuple[float, int]] = {0: (0.0, 0)}
+    for x in a:
+        step: dict[int, tuple[float, int]] = {}
+        for used, (cost, equal) in best.items():
+            for j, y in enumerate(b):
+                if used >> j & 1:
+                    continue
+                c = token_cost(x, y)
+                if c is None:
+                    continue
+                now = (cost + c, equal - (c == 0.0))
+                if (u := used | 1 << j) not in step or now < step[u]:
+                    step[u] = now
+        best = step
+        if not best:
+            return None
+    used, (cost, equal) = min(best.items(), key=lambda x: (x[1], x[0]))
+    return cost, -equal, [j for j in range(len(b)) if used >> j & 1]
+
+
+def _initials(tokens: list[str]) -> str:
+    return "".join(t[0] for t in tokens)
+
+
+def fits(a: list[str], b: list[str]) -> float | None:
+    """Cost of ``a`` and ``b`` naming the same sender, or None.
+
+    The shorter must be readable within the longer, with an equal token of four
+    letters or more; what is left of the longer may be middle initials, an
+    acronym of the shorter, or (dearer) generic words left out.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    found = _fits(a, b)
+    if found is None and len(a) == len(b):
+        found = _fits(b, a)
+    return found
+
+
+def _fits(a: list[str], b: list[str]) -> float | None:
+    if not set(a) & set(b) or max(len(t) for t in set(a) & set(b)) < 4:
+        return None
+    got = assign(a, b)
+    if got is None:
+        # An acronym in the shorter stands for a row of words of the longer.
+        for i, t in enumerate(a):
+            if 2 <= len(t) <= 4 and len(a) > 1:
+                rest = a[:i] + a[i + 1 :]
+                inner = assign(rest, b)
+                if inner is not None:
+                    left = [y for j, y in enumerate(b) if j not in inner[2]]
+                    if _initials(left) == t:
+                        return inner[0] + 0.5
+        return None
+    cost, _, used = got
+    left = [y for j, y in enumerate(b) if j not in used]
+    for y in left:
+        if len(y) == 1 and len(a) >= 2:
+            cost += 0.1
+        elif 2 <= len(y) <= 4 and y == _initials([t for t in b if t != y]):
+            cost += 0.1
+        elif len(a) >= 2 and min(len(t) for t in a) > 1:
+            cost += 0.8
+        else:
+            return None
+    return cost if cost <= 1.7 else None
+
+
+def _full(tokens: list[str]) -> bool:
+    return len(tokens) > 1 and all(len(t) > 1 for t in tokens)
+
+
+def link_block(signatures: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
+    """Links within a block of ``(signature, legal form, rows)``."""
+    split = {s: s.split(" ") for s, _, _ in signatures}
+    legal = {s: form for s, form, _ in signatures}
+    cost: dict[tuple[str, str], float] = {}
+    near: dict[str, list[str]] = {s: [] for s in split}
+    for a, b in combinations(split, 2):
+        if legal[a] and legal[b] and legal[a] != legal[b]:
+            continue
+        c = fits(split[a], split[b])
+        if c is not None:
+            cost[a, b] = cost[b, a] = c
+            near[a].append(b)
+            near[b].append(a)
+    links, ambiguous = set(), set()
+    for a, others in near.items():
+        # All the complete names it could stand for must be one sender's.
+        whole = [b for b in others if _full(split[b])] or others
+        loose = any(cost[a, b] >= 0.3 for b in whole)
+        if loose and any((x, y) not in cost and not _joined(x, y, near) for x, y in combinations(whole, 2)):
+            ambiguous.add(a)
+            others = [b for b in others if cost[a, b] <= 0.11]
+        links |= {(a, b) for b in others if _full(split[b]) or not _full(split[a])}
+    # A complete name is not drawn in by an ambiguous one.
+    return sorted(
+        {
+            (min(a, b), max(a, b))
+            for a, b in links
+            if cost[a, b] <= 0.11 or (a not in ambiguous and b not in ambiguous)
+        }
+    )
+
+
+def _joined(x: str, y: str, near: dict[str, list[str]]) -> bool:
+    """Two names that do not fit directly, but through a third complete one."""
+    return bool({z for z in near[x] if _full(z.split(" "))} & {z for z in near[y] if _full(z.split(" "))})
+
+
+def _respell(tokens: DataFrame) -> DataFrame:
+    """``(token, spelling)``: rare tokens and the frequent neighbour one edit away."""
+    stats = tokens.groupBy("token").agg(F.countDistinct("name").alias("df"), F.sum("n").alias("n")).filter(F.length("token") >= 5)
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(k, t, d, n) for t, d, n in zip(pdf["token"], pdf["df"], pdf["n"]) for k in deletes(t, 1)]
+            yield pd.DataFrame(rows, columns=["key", "token", "df", "n"])
+
+    index = materialize(stats.mapInPandas(keys, "key string, token string, df bigint, n bigint"), "deletions")
+    left, right = index.alias("l"), index.alias("r")
+    rarer = (F.col("l.df") < F.col("r.df")) | (
+        (F.col("l.df") == F.col("r.df")) & ((F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.token") > F.col("r.token"))))
+    )
+    pairs = (
+        left.join(right, F.col("l.key") == F.col("r.key"))
+        .filter(rarer & (F.col("l.df") * 2 <= F.greatest(F.col("r.df"), F.lit(2))) & (F.col("l.df") * 5 <= F.col("r.df") + 8))
+        .select(F.col("l.token").alias("token"), F.col("r.token").alias("spelling"), F.col("r.df").alias("df"), F.col("r.n").alias("n"))
+        .distinct()
+    )
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[(a[0] == b[0] or len(a) >= 8) and edits(a, b) == 1 for a, b in zip(pdf["token"], pdf["spelling"])]]
+
+    best = pairs.mapInPandas(near, "token string, spelling string, df bigint, n bigint")
+    return best.groupBy("token").agg(F.max_by("spelling", F.struct("df", "n", "spelling")).alias("spelling"))
+
+
+def _signatures(names: DataFrame) -> DataFrame:
+    """``(name, n, signature, legal)`` with tokens respelled."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [parts(v) for v in pdf["name"]]
+            yield pd.DataFrame({"name": pdf["name"], "n": pdf["n"], "tokens": [g[0] for g in got], "legal": [g[1] for g in got]})
+
+    pieces = materialize(names.mapInPandas(cut, "name string, n bigint, tokens array<string>, legal string"), "tokens")
+    tokens = pieces.select("name", "n", "legal", F.posexplode("tokens").alias("pos", "token"))
+    respelled = materialize(_respell(tokens), "respelled")
+    again = respelled.select(F.col("token").alias("spelling"), F.col("spelling").alias("further"))
+    final = respelled.join(again, "spelling", "left").select("token", F.coalesce("further", "spelling").alias("spelling"))
+    return (
+        tokens.join(final, "token", "left")
+        .groupBy("name")
+        .agg(
+            F.first("n").alias("n"),
+            F.first("legal").alias("legal"),
+            F.array_join(F.array_sort(F.collect_list(F.coalesce("spelling", "token"))), " ").alias("signature"),
+        )
+    )
+
+
+def _links(signatures: DataFrame) -> DataFrame:
+    """``(a, b)`` between signatures, found block by block."""
+    tokens = signatures.select("signature", "legal", "n", F.explode(F.array_distinct(F.split("signature", " "))).alias("token"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("signature").orderBy("df", F.desc(F.length("token")), "token"))
+    block = (
+        tokens.filter(F.length("token") >= 4)
+        .join(df, "token")
+        .withColumn("rank", rank)
+        .filter((F.col("rank") == 1) | (F.col("df") <= RARE))
+        .select("token", "signature", "legal", "n", "df")
+    )
+    # A token that opens an oversized block is joined with the first letters of
+    # the other tokens, which tokens that can be aligned have in common.
+    letters = F.array_distinct(F.transform(F.filter(F.split("signature", " "), lambda t: t != F.col("token")), lambda t: F.substring(t, 1, 1)))
+    block = block.withColumn(
+        "part",
+        F.explode(F.when((F.col("df") > BLOCK) & (F.size(letters) > 0), letters).otherwise(F.array(F.lit("")))),
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(link_block(list(zip(pdf["signature"], pdf["legal"], pdf["n"]))), columns=["a", "b"])
+
+    return block.groupBy("token", "part").applyInPandas(run, "a string, b string").distinct()
+
+
+def _classes(signatures: DataFrame, links: DataFrame) -> DataFrame:
+    """``(signature, class)``: the least signature reachable over links."""
+    both = materialize(links.union(links.select("b", "a")), "links")
+    label = both.select(F.col("a").alias("signature")).distinct().withColumn("class", F.col("signature"))
+    for _ in range(20):
+        lower = both.join(label, both["b"] == label["signature"]).groupBy("a").agg(F.min("class").alias("lower"))
+        step = label.join(lower, label["signature"] == lower["a"]).select(
+            "signature", F.least("class", "lower").alias("class"), (F.col("lower") < F.col("class")).alias("changed")
+        )
+        step = materialize(step, "classes")
+        label = step.select("signature", "class")
+        if step.filter("changed").isEmpty():
+            break
+    return signatures.select("signature").distinct().join(label, "signature", "left").select(
+        "signature", F.coalesce("class", "signature").alias("class")
+    )
+
+
+def link_names(df: DataFrame, name: str = "correspondent") -> DataFrame:
+    """``(name, n, signature, class)`` for every distinct name that is not blank."""
+    names = (
+        df.select(F.col(name).alias("name"))
+        .filter(F.length(F.regexp_replace("name", r"[\s\u00A0]+", "")) > 0)
+        .groupBy("name")
+        .agg(F.count("*").alias("n"))
+    )
+    spelled = materialize(_signatures(names), "spelled")
+    signatures = spelled.groupBy("signature").agg(F.max("legal").alias("legal"), F.sum("n").alias("n"))
+    classes = _classes(signatures, _links(signatures))
+    return spelled.join(classes, "signature").select("name", "n", "signature", "class")
+
+
+def name_pairs(df: DataFrame, name: str = "correspondent") -> DataFrame:
+    """``(name_a, name_b)``: different spellings of one class, each pair once."""
+    linked = materialize(link_names(df, name).select("name", "class"), "linked")
+    a = linked.select("class", F.col("name").alias("name_a"))
+    b = linked.select("class", F.col("name").alias("name_b"))
+    return a.join(b, "class").filter("name_a < name_b").select("name_a", "name_b")
+
+
+def sender_index(df: DataFrame, name: str = "correspondent") -> DataFrame:
+    """One row per spelling: the spelling its class is known by, and the class's size."""
+    linked = link_names(df, name)
+    by_class = linked.groupBy("class").agg(
+        F.max_by("name", F.struct("n", "name")).alias("sender"), F.count("*").alias("spellings"), F.sum("n").alias("rows")
+    )
+    return linked.join(by_class, "class").select("name", "sender", "spellings", "rows")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import canonical, frequency
+from ..operators import canonical, frequency, names
 from ..session import table
 
 
@@ -15,6 +15,8 @@ def _p7(spark, sf):
 _P = {
     "p2_found": lambda s, d: canonical.map_rows(table(s, d, "document_meta"), table(s, d, "category_list")),
     "p2_misses": lambda s, d: canonical.misses(table(s, d, "document_meta"), table(s, d, "category_list")),
+    "p5_found": lambda s, d: names.name_pairs(table(s, d, "document_meta")),
+    "p5_senders": lambda s, d: names.sender_index(table(s, d, "document_meta")),
     "p7_found": lambda s, d: _p7(s, d).filter("mark is not null").select(F.col("term").alias("tag"), "mark"),
     "p7_frequencies": lambda s, d: _p7(s, d).select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("notes"), "mark"),
     "p7_ledger": lambda s, d: frequency.beside_ledger(_p7(s, d), table(s, d, "tag_groups")).withColumnRenamed("term", "tag").withColumnRenamed("records", "notes"),

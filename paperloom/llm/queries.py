@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import language, packing, quality, spans, tokenize
+from . import language, packing, personal, quality, spans, tokenize
 
 
 def _p4(spark, sf):
@@ -14,8 +14,20 @@ def _p1(spark, sf):
     return language.vault_passages(table(spark, sf, "documents"), table(spark, sf, "document_meta"))
 
 
+def _p6(spark, sf):
+    return personal.vault_findings(table(spark, sf, "extract_results"), table(spark, sf, "document_meta"))
+
+
+def _p6_replaced(spark, sf, secret=None):
+    texts = personal.vault_texts(table(spark, sf, "extract_results"), table(spark, sf, "document_meta"))
+    return personal.replace_findings(texts, _p6(spark, sf), secret)
+
+
 def queries() -> dict:
     return {
+        "p6_found": lambda s, d: _p6(s, d).select("src", "row_id", "kind", "value").distinct(),
+        "p6_placeholders": _p6_replaced,
+        "p6_surrogates": lambda s, d: _p6_replaced(s, d, "local key"),
         "p1_found": lambda s, d: language.unnamed(_p1(s, d)),
         "p1_languages": lambda s, d: language.main_language(_p1(s, d)),
         "p4_found": lambda s, d: _p4(s, d).filter("kind in ('list', 'table', 'junk')").select("extract_id", "kind").distinct(),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import language, packing, personal, quality, spans, tokenize
+from . import language, packing, personal, quality, scanned, spans, tokenize
 
 
 def _p4(spark, sf):
@@ -23,8 +23,14 @@ def _p6_replaced(spark, sf, secret=None):
     return personal.replace_findings(texts, _p6(spark, sf), secret)
 
 
+def _p3(spark, sf):
+    return scanned.vault_texts(table(spark, sf, "documents"), table(spark, sf, "extract_results"))
+
+
 def queries() -> dict:
     return {
+        "p3_found": lambda s, d: scanned.findings(_p3(s, d)).distinct(),
+        "p3_repaired": lambda s, d: scanned.repair(_p3(s, d)),
         "p6_found": lambda s, d: _p6(s, d).select("src", "row_id", "kind", "value").distinct(),
         "p6_placeholders": _p6_replaced,
         "p6_surrogates": lambda s, d: _p6_replaced(s, d, "local key"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import canonical, frequency, names
 from ..session import table
+from . import reference
 
 
 def _p7(spark, sf):
@@ -24,7 +25,7 @@ _P = {
 
 
 def queries() -> dict:
-    return dict(_P)
+    return {**reference.QUERIES, **_P}
 
 
 _TAGS = """
@@ -52,4 +53,4 @@ from marked m full join old o on m.tag = o.tag""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_P_SQL)
+    return {**reference.SQL, **_P_SQL}

@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Incremental ingestion with Structured Streaming."""

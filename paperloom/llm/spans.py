@@ -5,7 +5,8 @@ every pair whose left symbol lies in one half of the alphabet and whose right
 symbol in the other; the halves are drawn anew each round from the symbols'
 names. A name is a 64-bit hash of what it stands for, so all tasks of the
 cluster give equal content the same name without exchanging dictionaries. A
-symbol that has grown to ``GROWN`` characters is left alone. Whether two symbols
+symbol that has grown to ``GROWN`` characters is left alone, and a long run is cut
+into blocks of that size. Whether two symbols
 are joined depends on these two only, so inside a repeated span all symbols but
 a few at its ends are the same wherever it stands.
 
@@ -75,10 +76,17 @@ def recompress(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if same.any():
             start = np.flatnonzero(np.concatenate(([True], ~same)))
             n = np.diff(np.append(start, len(name)))
-            head = name[start]
-            name = np.where(n > 1, _name(head * _K + n.astype(_U)), head)
-            size = np.add.reduceat(size, start).astype(np.int32)
-            doc = doc[start]
+            # A long run becomes blocks that stop growing and a rest, so that runs
+            # of different lengths have their blocks in common.
+            block = -(-GROWN // size[start])
+            pieces = np.maximum(1, -(-n // block))
+            last = np.cumsum(pieces) - 1
+            k = np.repeat(block, pieces)
+            k[last] = n - block * (pieces - 1)
+            head = np.repeat(name[start], pieces)
+            size = (np.repeat(size[start], pieces) * k).astype(np.int32)
+            name = np.where(k > 1, _name(head * _K + k.astype(_U)), head)
+            doc = np.repeat(doc[start], pieces)
             grows = size < GROWN
         draw = _U(((2 * turn + 1) * 0xD6E8FEB86659FD93) % (1 << 64))
         left = (_name(name + draw) & _U(1)).astype(bool)
@@ -119,7 +127,14 @@ def run_names(texts: list[str], cover: int = COVER) -> tuple[np.ndarray, np.ndar
         inside = which[: len(run) - WINDOW + 1] == which[WINDOW - 1 :]
         keep[(windows.argmin(1) + np.arange(len(windows)))[inside]] = True
     keep |= np.bincount(which, minlength=len(texts))[which] < WINDOW
-    return run[keep], which[keep], at[keep]
+    run, which, at = run[keep], which[keep], at[keep]
+    if len(run) > 2:
+        # Of a stretch of equal names (a long run) the first and the last will do.
+        same = (run[1:] == run[:-1]) & (which[1:] == which[:-1])
+        inner = np.zeros(len(run), dtype=bool)
+        inner[1:-1] = same[1:] & same[:-1]
+        run, which, at = run[~inner], which[~inner], at[~inner]
+    return run, which, at
 
 
 def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:

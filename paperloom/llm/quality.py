@@ -10,7 +10,7 @@ Jensen-Shannon divergence.
 Defined cases: null, empty and blank texts have zero counts and kind null, as
 have texts under ``LEAST_CHARS`` characters without outer blanks; long texts are
 read whole; repeated rows give equal rows; other columns are not read; without
-any undoubted text of a kind a built-in profile stands in.
+any undoubted text of a variety a built-in profile stands in.
 """
 
 from __future__ import annotations
@@ -41,12 +41,17 @@ _ENDS = re.compile(r"[.!?:;…][\"'»”)]*\s*$")
 _FUNCTION = {w: i for i, code in enumerate(LANGUAGES) for w in FUNCTION_WORDS[code]}
 _OF = {w: [i for i, code in enumerate(LANGUAGES) if w in FUNCTION_WORDS[code]] for w in _FUNCTION}
 
-#: Used only where the data hold no undoubted text of the kind.
+#: Used only for varieties of which the data hold no undoubted text.
 _BUILT_IN = {
-    "prose": ([0.28, 0.42, 0.07, 0.15, 0.01, 0.03, 0.01, 0.01, 0.02], [0.3, 0.53, 0.01, 0.02, 0.12, 0.02], [0.02, 0.02, 0.86, 0.1, 0]),
-    "list": ([0.26, 0.42, 0.1, 0.1, 0.04, 0.02, 0.01, 0.02, 0.03], [0.06, 0.52, 0.02, 0.03, 0.32, 0.05], [0.9, 0.02, 0.02, 0.06, 0]),
-    "table": ([0.1, 0.17, 0.35, 0.12, 0.04, 0.1, 0.08, 0.03, 0.01], [0.01, 0.2, 0.04, 0.02, 0.68, 0.05], [0.01, 0.93, 0.01, 0.05, 0]),
-    "junk": ([0.15, 0.35, 0.1, 0.12, 0.01, 0.07, 0.05, 0.05, 0.1], [0.01, 0.45, 0.25, 0.2, 0.05, 0.04], [0.01, 0.01, 0.3, 0.2, 0.48]),
+    "prose en": ([0.28, 0.42, 0.1, 0.15, 0.01, 0.03, 0, 0, 0.01], [0.32, 0.48, 0.02, 0, 0.16, 0.02], [0.01, 0, 0.9, 0.09, 0]),
+    "list marked": ([0.24, 0.38, 0.16, 0.11, 0.03, 0.03, 0, 0.02, 0.03], [0.15, 0.47, 0.03, 0, 0.33, 0.02], [0.99, 0, 0, 0.01, 0]),
+    "list bare": ([0.26, 0.42, 0.17, 0.08, 0.03, 0.03, 0, 0.01, 0], [0.16, 0.49, 0.03, 0, 0.3, 0.02], [0.01, 0, 0, 0.99, 0]),
+    "table cells": ([0.08, 0.13, 0.48, 0.13, 0.02, 0.09, 0.03, 0.03, 0.01], [0, 0.14, 0.02, 0, 0.84, 0], [0, 0.95, 0, 0.05, 0]),
+    "junk figures": ([0.24, 0.29, 0.33, 0.13, 0.01, 0, 0, 0, 0], [0.01, 0.08, 0.02, 0.78, 0.11, 0], [0, 0, 0.9, 0.1, 0]),
+    "junk glyphs": ([0.11, 0.03, 0.06, 0.13, 0.01, 0.14, 0.03, 0.03, 0.46], [0.01, 0.08, 0, 0.05, 0.28, 0.58], [0, 0, 0, 0, 1.0]),
+    "junk strokes": ([0.24, 0.12, 0, 0.07, 0.01, 0.11, 0.12, 0.22, 0.11], [0, 0, 1.0, 0, 0, 0], [0, 0, 0, 0, 1.0]),
+    "junk syllables": ([0.37, 0.49, 0, 0.13, 0.01, 0, 0, 0, 0], [0, 1.0, 0, 0, 0, 0], [0, 0, 0.85, 0.15, 0]),
+    "junk voiceless": ([0, 0.86, 0, 0.13, 0.01, 0, 0, 0, 0], [0, 0, 1.0, 0, 0, 0], [0, 0, 0.85, 0.15, 0]),
 }
 
 
@@ -259,7 +264,7 @@ def profiles(stats: DataFrame) -> dict[str, list[np.ndarray]]:
         if r["n"] >= 5
     }
     for kind, parts in _BUILT_IN.items():
-        if not any(k.split()[0] == kind for k in found):
+        if kind not in found and not (kind.startswith("prose") and any(k.startswith("prose") for k in found)):
             found[kind] = [np.array(p, dtype=float) for p in parts]
     return found
 

@@ -673,6 +673,98 @@ def eval_slices(s, d):
     return vault.accuracy_slices(rows)
 
 
+@query("eval_misses", f"with {_N} select note_id, category from notes where category is not null and category not in (select category from category_list)")
+def eval_misses(s, d):
+    return _notes(s, d).join(table(s, d, "category_list").select("category"), "category", "left_anti").filter("category is not null").select("note_id", "category")
+
+
+@query("para_bucket", f"with {_N}, b as (select note_id, coalesce(nullif(lower(trim(para, ' ')), ''), case when lower(source_file) like 'doc%' then 'project' end, 'archive') as bucket from notes) select bucket, count(*) as n from b group by 1")
+def para_bucket(s, d):
+    named = F.lower(F.trim("para"))
+    bucket = F.coalesce(F.when(named != "", named), F.when(F.lower("source_file").startswith("doc"), "project"), F.lit("archive"))
+    return _notes(s, d).select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query(
+    "build_prompt",
+    "select doc_id, 'Describe the document below as JSON with title, category and tags.' || chr(10) || 'Categories: a, b' || chr(10) || 'Language: ' || coalesce(lang, 'unknown') || chr(10) || '---' || chr(10) || text as prompt from documents where text is not null",
+)
+def build_prompt(s, d):
+    from ..streaming.model import build_prompt as prompt
+
+    return table(s, d, "documents").filter("text is not null").select("doc_id", prompt(F.col("text"), ["a", "b"], F.col("lang")).alias("prompt"))
+
+
+@query("model_answers")
+def model_answers(s, d):
+    from ..streaming.model import StubClient, ask, build_prompt as prompt
+
+    rows = table(s, d, "documents").filter("text <> ''").select("doc_id", prompt(F.col("text"), ["a", "b"], F.col("lang")).alias("prompt"))
+    answered = ask(rows, StubClient).withColumn("a", jsonfix.parse_answer(F.col("response"), _ANSWER))
+    return answered.select("doc_id", "a.title", "a.category", "a.tags", "error")
+
+
+@query("local_hosts", "select event_id, event_id % 2 = 0 as is_local from events")
+def local_hosts(s, d):
+    from ..streaming.model import is_local
+
+    url = F.when(F.col("event_id") % 4 == 0, "http://localhost:11434/api").when(F.col("event_id") % 4 == 2, "http://127.0.0.1/x").otherwise("https://models.example.org/v1")
+    return table(s, d, "events").select("event_id", is_local(url).alias("is_local"))
+
+
+@query("selected_files", f"with {_N} select note_id from notes where source_file is not null and (lower(source_file) like '%.pdf' or lower(regexp_extract(source_file, '\\.([^.]+)$', 1)) in ('png','jpg','jpeg','tif','tiff','bmp','gif','webp','heic'))")
+def selected_files(s, d):
+    from ..sources.scan import keeper, parse_selectors
+
+    return _notes(s, d).filter(F.col("source_file").isNotNull() & keeper(parse_selectors("pdfs,images"), F.col("source_file"))).select("note_id")
+
+
+@query("css_drift", f"with {_N} select note_id, list_sort(list_distinct(list_concat(list_filter(coalesce(tags, []), lambda t: t is not null), ['scan', 'paper']))) as classes, not list_contains(list_filter(coalesce(tags, []), lambda t: t is not null), 'scan') or not list_contains(list_filter(coalesce(tags, []), lambda t: t is not null), 'paper') as drifted from notes")
+def css_drift(s, d):
+    have = F.array_compact(F.coalesce("tags", F.array().cast("array<string>")))
+    ours = F.array(F.lit("scan"), F.lit("paper"))
+    return _notes(s, d).select("note_id", F.array_sort(F.array_union(have, ours)).alias("classes"), (F.size(F.array_except(ours, have)) > 0).alias("drifted"))
+
+
+@query("ledger_listing", "select canonical, list_sum(list_filter(map_values(counts), lambda x: x is not null))::bigint as total, len(map_keys(counts)) as spellings from (select distinct canonical, counts from tag_groups where counts is not null) where list_sum(list_filter(map_values(counts), lambda x: x is not null)) >= 3")
+def ledger_listing(s, d):
+    rows = table(s, d, "tag_groups").filter("counts is not null")
+    pairs = F.array_sort(F.map_entries("counts"))
+    once = rows.select("canonical", pairs.alias("pairs")).distinct()
+    total = F.aggregate(F.filter("pairs", lambda p: p["value"].isNotNull()), F.lit(0).cast("bigint"), lambda a, p: a + p["value"])
+    return once.select("canonical", total.alias("total"), F.size("pairs").cast("bigint").alias("spellings")).filter("total >= 3")
+
+
+@query("seen_documents", f"with {_N} select doc_id, min(note_id) as note_id, count(*) as notes from notes where doc_id is not null group by 1")
+def seen_documents(s, d):
+    return _notes(s, d).filter("doc_id is not null").groupBy("doc_id").agg(F.min("note_id").alias("note_id"), F.count("*").alias("notes"))
+
+
+@query(
+    "from_response",
+    f"with {_N} select note_id, substr(trim(coalesce(correspondent, ''), ' '), 1, 10) as correspondent, list_transform(list_filter(coalesce(subjects, []), lambda x: trim(coalesce(x, ''), ' ') <> '')[1:5], lambda x: substr(trim(x, ' '), 1, 80)) as subjects, lower(trim(coalesce(context, ''), ' ')) as context, substr(trim(coalesce(amount, ''), ' '), 1, 40) as amount, substr(trim(coalesce(currency, ''), ' '), 1, 8) as currency from notes",
+)
+def from_response(s, d):
+    clip = lambda c, n: F.substring(F.trim(F.coalesce(F.col(c), F.lit(""))), 1, n).alias(c)
+    subjects = F.filter(F.coalesce("subjects", F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
+    cut = F.transform(F.slice(subjects, 1, 5), lambda x: F.substring(F.trim(x), 1, 80)).alias("subjects")
+    return _notes(s, d).select("note_id", clip("correspondent", 10), cut, F.lower(F.trim(F.coalesce("context", F.lit("")))).alias("context"), clip("amount", 40), clip("currency", 8))
+
+
+@query("verdict_by_backend", "select upper(trim(backend, ' ')) as backend, count(*) as readings, count(*) filter (length(coalesce(text, '')) < 60) as thin, sum(pages)::bigint as pages from (select distinct on (extract_id) * from extract_results order by extract_id, loaded_at) group by 1")
+def verdict_by_backend(s, d):
+    rows = _extracts(s, d, "backend", "text", "pages")
+    thin = F.count(F.when(F.length(F.coalesce("text", F.lit(""))) < 60, 1))
+    return rows.groupBy(F.upper(F.trim("backend")).alias("backend")).agg(F.count("*").alias("readings"), thin.alias("thin"), F.sum("pages").alias("pages"))
+
+
+@query("event_windows", "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by 1, 2")
+def event_windows(s, d):
+    from ..streaming.ingest import event_counts
+
+    return event_counts(table(s, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 @query("stream_ingest", "select distinct sha256(text) as digest from documents where text <> ''")
 def stream_ingest(s, d):
     from ..streaming.ingest import ingest_once

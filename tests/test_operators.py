@@ -90,7 +90,7 @@ def test_frequencies_at_any_partition_size(spark, most):
 
 
 def test_marks(spark):
-    data = [(i, ["common"] + (["rare"] if i < 2 else [])) for i in range(20)] + [(i, ["mid"]) for i in range(20, 23)]
+    data = [(i, ["common"] + (["rare"] if i < 2 else [])) for i in range(40)] + [(i, ["mid"]) for i in range(40, 43)]
     df = spark.createDataFrame(data, "note_id long, tags array<string>")
     assert rows(frequency.mark_terms(df), "term", "mark") == [("common", "common"), ("mid", None), ("rare", "rare")]
     empty = spark.createDataFrame([], "note_id long, tags array<string>")

@@ -99,38 +99,33 @@ def pack(sizes: DataFrame, capacity: int = 2048, key: str = "doc_id", size: str
         ).alias("p"),
     ).select("item", "p.*")
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(SALTS)).cast("int"))
-    # At most (capacity + 1) * SALTS rows, whatever the number of items.
-    cells = salted.groupBy("length", "salt").count().collect()
-    per_length: dict[int, int] = {}
-    offset: dict[tuple[int, int], int] = {}
-    for length, salt, n in sorted((r["length"], r["salt"], r["count"]) for r in cells):
-        offset[length, salt] = per_length.get(length, 0)
-        per_length[length] = per_length.get(length, 0) + n
+    # At most (capacity + 1) * SALTS rows, whatever the number of items; the driver sees a row a length.
+    cells = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "cells")
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    per_length = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots, containers = plan_histogram(per_length, capacity)
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("item", "piece")).cast("long") - 1
-    ranked = salted.withColumn("rank", rank)
-    return _take_slots(ranked, slots, containers, offset).select(
+    # The window has placed the rows by length and salt, so the merge moves only the offsets.
+    ranked = salted.withColumn("rank", rank).join(offsets.hint("merge"), ["length", "salt"])
+    return _take_slots(ranked.withColumn("rank", F.col("rank") + F.col("offset")), slots, containers).select(
         F.col("item").alias(key), "piece", "start", "length", "container"
     )
 
 
-def _take_slots(ranked: DataFrame, slots, containers: int, offset: dict) -> DataFrame:
+def _take_slots(ranked: DataFrame, slots, containers: int) -> DataFrame:
     """Join on rank within length; the plan is bounded by the capacity, so it rides along."""
     slots = sorted(slots)
     plan = {
         k: np.array([s[i] for s in slots], dtype=np.int64) for i, k in enumerate(("length", "lo", "hi", "first", "per"))
     }
     starts = plan["length"] * (1 << 44) + plan["lo"]
-    shift = np.zeros((max((k for k, _ in offset), default=0) + 1, SALTS), dtype=np.int64)
-    for (length, salt), n in offset.items():
-        shift[length, salt] = n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             length = get["length"].to_numpy(zero_copy_only=False)
-            salt = get["salt"].to_numpy(zero_copy_only=False)
-            rank = get["rank"].to_numpy(zero_copy_only=False) + shift[length, salt]
+            rank = get["rank"].to_numpy(zero_copy_only=False)
             where = np.searchsorted(starts, length * (1 << 44) + rank, side="right") - 1
             if len(starts):
                 at = np.clip(where, 0, None)
@@ -145,7 +140,7 @@ def _take_slots(ranked: DataFrame, slots, containers: int, offset: dict) -> Data
             )
 
     kind = ranked.schema["item"].dataType.simpleString()
-    return ranked.select("item", "piece", "start", "length", "salt", "rank").mapInArrow(
+    return ranked.select("item", "piece", "start", "length", "rank").mapInArrow(
         run, f"item {kind}, piece bigint, start bigint, length bigint, container bigint"
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import fold
+from .text import fold, strip
 
 SAMPLE_CHARS = 250_000
 #: Limits of the verdict and of the density cap. Fixed values.
@@ -48,7 +48,7 @@ def is_garbled(t: Column) -> Column:
 def quality_counts(df: DataFrame, text: str = "text", common: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
     """``df`` with the counts ``q_*`` that the score is made of; one projection, no shuffle."""
     wanted = F.array(*[F.lit(w) for w in sorted(set(common))])
-    sample = F.substring(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), 1, SAMPLE_CHARS)
+    sample = F.substring(strip(F.coalesce(F.col(text), F.lit(""))), 1, SAMPLE_CHARS)
     t = F.col("q_tokens")
     return (
         df.withColumn("q_sample", sample)

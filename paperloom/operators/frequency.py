@@ -28,11 +28,11 @@ from ..session import scratch
 RADIX_BITS = 6
 #: Rows that one DuckDB aggregation takes at most before its partition is split.
 MAX_ROWS = 4_000_000
-_BLANKS = r"^[\s\u00A0]+|[\s\u00A0]+$"
+_BLANKS = " \t\n\r\x0b\x0c\xa0"
 
 
 def clean_term(term: Column) -> Column:
-    return F.lower(F.regexp_replace(term, _BLANKS, ""))
+    return F.lower(F.btrim(term, F.lit(_BLANKS)))
 
 
 def term_records(df: DataFrame, record: str, terms: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import number_in_groups
+
 
 def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     """One row per key: the one last delivered; of equals the greatest row."""
@@ -51,8 +53,9 @@ def upsert(index: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 def numbered_paths(df: DataFrame, path: str, suffix: Column, order: str) -> DataFrame:
     """``unique_path``: the first of a path keeps it, later ones get -2, -3, ..."""
-    n = F.row_number().over(Window.partitionBy(path).orderBy(order))
-    return df.withColumn("unique_path", F.concat(F.col(path), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), suffix))
+    numbered = number_in_groups(df, [path], [order], "_n")
+    extra = F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise("")
+    return numbered.withColumn("unique_path", F.concat(F.col(path), extra, suffix)).drop("_n")
 
 
 def resolve_links(links: DataFrame, files: DataFrame) -> DataFrame:

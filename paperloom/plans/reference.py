@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, jsonfix, quality, rules, text
 from ..operators import tags, vault
-from ..session import table
+from ..session import spread, table
 from . import sqltext as q
 
 TODAY = "2026-01-01"
@@ -364,18 +364,18 @@ def _dated(s, d):
 @query("date_from_text", f"select o_orderkey, o_orderdate::date as value, 'invoice date' as label from orders where o_orderdate::date <= date '{TODAY}'")
 def date_from_text(s, d):
     best = dates.best_date(dates.find_dates(F.col("text"), TODAY))
-    return _dated(s, d).withColumn("b", best).filter("b is not null").select("o_orderkey", "b.value", "b.label")
+    return spread(_dated(s, d)).withColumn("b", best).filter("b is not null").select("o_orderkey", "b.value", "b.label")
 
 
 @query("date_candidates")
 def date_candidates(s, d):
-    rows = table(s, d, "documents").select("doc_id", F.explode(dates.find_dates(F.col("text"), TODAY)).alias("c"))
+    rows = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(dates.find_dates(F.col("text"), TODAY)).alias("c"))
     return rows.select("doc_id", "c.value", "c.start", "c.end", "c.label", "c.weak")
 
 
 @query("document_dates")
 def document_dates(s, d):
-    found = table(s, d, "documents").select("doc_id", dates.find_dates(F.col("text"), TODAY).alias("f"))
+    found = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", dates.find_dates(F.col("text"), TODAY).alias("f"))
     return found.select("doc_id", dates.best_date(F.col("f")).alias("best"), dates.strong_date(F.col("f")).alias("strong")).select("doc_id", "best.value", "best.label", "strong")
 
 

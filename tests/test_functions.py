@@ -102,6 +102,12 @@ def test_quality_verdicts(spark):
     assert quality_of(spark, letter * 3000, 1)["chars"] == quality.SAMPLE_CHARS
 
 
+def test_long_blanks_are_read_once(spark):
+    blanks = "a" + " " * 300_000 + "b"
+    assert quality_of(spark, blanks)["chars"] == quality.SAMPLE_CHARS
+    assert one(spark, blanks, text.slugify) == "a-b"
+
+
 def test_rules(spark):
     hay = spark.createDataFrame([("Försäkringsbrev", "risk of payee", "Facture n° 3")], "a string, b string, c string")
     tags = lambda c: rules.rule_tags(rules.haystack(F.col(c)), rules.RULES)

@@ -156,3 +156,15 @@ def test_links_paths_and_attempts(spark):
     assert rows(vault.best_attempt(tries, "k"), "k", "attempt", "kind") == [("a", 2, "improved"), ("b", 2, "unchanged"), ("c", None, "failed")]
     scored = spark.createDataFrame([(1, 0.1, "poor"), (2, 0.2, "poor"), (3, 0.9, "good"), (4, 0.0, "thin")], "id int, score double, verdict string")
     assert rows(vault.worklist(scored, "id", 1), "id", "kind") == [(1, "reocr"), (2, "deferred"), (3, "good"), (4, "thin")]
+
+
+def test_numbers_in_a_hot_group(spark):
+    from paperloom.operators.ranking import number_in_groups
+
+    df = spark.range(3000).select(F.when(F.col("id") < 2500, "hot").otherwise(F.when(F.col("id") % 7 > 0, F.concat(F.lit("g"), F.col("id") % 7))).alias("g"), F.col("id").alias("o"))
+    got = number_in_groups(df, ["g"], ["o"]).collect()
+    want = {}
+    for r in sorted(got, key=lambda r: r["o"]):
+        want[r["g"]] = want.get(r["g"], 0) + 1
+        assert r["number"] == want[r["g"]]
+    assert number_in_groups(df.limit(0), ["g"], ["o"]).count() == 0

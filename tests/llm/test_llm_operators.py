@@ -219,6 +219,17 @@ def test_surrogates_are_consistent_and_distinct(spark):
     assert other != got[0]
 
 
+def test_very_long_texts(spark, vocabulary):
+    """Long runs of blanks, of one letter and of words are read in time that follows their length."""
+    for text in (" " * 400_000 + "x", "a" * 400_000, ("word " * 20 + "\n") * 4_000, "\n" * 200_000, "- " * 100_000, "1 " * 150_000, "Aa " * 100_000, "@" * 100_000):
+        df = spark.createDataFrame([("x", 1, text)], ROW)
+        assert personal.findings(df, GIVEN).count() >= 0
+        assert scanned.findings(df, vocabulary).count() >= 0
+        assert quality.text_kinds(df.withColumnRenamed("row_id", "extract_id")).count() == 1
+        assert len(language.sentences(text)) >= 0
+        assert spans.sharing_pairs(df.union(df.withColumn("row_id", F.lit(2).cast("long"))).withColumnRenamed("row_id", "doc_id")).count() == 1
+
+
 # --- 3: scanned pages ---------------------------------------------------------------------
 
 PAGES = (

@@ -59,7 +59,7 @@ def scan_documents(spark: SparkSession, folder: str, selectors: str = "all", con
 
 def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Notes below a folder, one row each with its whole content."""
-    notes = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder)
+    notes = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return notes.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).filter(visible(F.col("path")))
 
 

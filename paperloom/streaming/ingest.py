@@ -24,8 +24,13 @@ def digests(stream: DataFrame, text: str = "text", watermark: tuple[str, str] |
 
 
 def ingest_once(spark: SparkSession, path: str, schema, text: str = "text", checkpoint: str | None = None) -> DataFrame:
-    """Run over all that has arrived and stop; the digests ingested."""
-    out = scratch(spark, "ingested")
+    """Run over all that has arrived and stop; the digests ingested so far.
+
+    A later run from the same checkpoint goes on where this one stopped, and
+    writes to the same place.
+    """
+    checkpoint = checkpoint or scratch(spark, "stream")
+    out = f"{checkpoint}/ingested"
     source = path.rsplit("/", 1)
     # A single file is read through its folder, a folder of files as it is.
     import os
@@ -38,7 +43,7 @@ def ingest_once(spark: SparkSession, path: str, schema, text: str = "text", chec
         .select("digest")
         .writeStream.format("parquet")
         .option("path", out)
-        .option("checkpointLocation", checkpoint or scratch(spark, "stream"))
+        .option("checkpointLocation", f"{checkpoint}/state")
         .trigger(availableNow=True)
         .start()
     )

@@ -363,8 +363,8 @@ def _dated(s, d):
 
 @query("date_from_text", f"select o_orderkey, o_orderdate::date as value, 'invoice date' as label from orders where o_orderdate::date <= date '{TODAY}'")
 def date_from_text(s, d):
-    best = dates.best_date(dates.find_dates(F.col("text"), TODAY))
-    return spread(_dated(s, d)).withColumn("b", best).filter("b is not null").select("o_orderkey", "b.value", "b.label")
+    found = spread(_dated(s, d)).select("o_orderkey", dates.find_dates(F.col("text"), TODAY).alias("f")).filter(F.size("f") > 0)
+    return found.select("o_orderkey", dates.best_date(F.col("f")).alias("b")).select("o_orderkey", "b.value", "b.label")
 
 
 @query("date_candidates")

@@ -256,6 +256,29 @@ def test_scan_findings(spark, vocabulary):
     assert scanned.findings(df.limit(0), vocabulary).count() == 0
 
 
+def test_scan_findings_do_not_depend_on_the_size_of_the_corpus(spark):
+    # One misreading in a table is ten in ten copies of it; no word around is a frequent one.
+    text = EN * 3 + "The telephone was repaired. "
+    df = spark.createDataFrame([("x", i, text) for i in range(30)] + [("x", 30, EN + "Zqa zqb telephorie zqc zqd zqe. The tele-\nphorie was repaired. ")], ROW)
+    ten = df
+    for _ in range(9):
+        ten = ten.unionAll(df)
+    once = rows(scanned.findings(df).distinct(), "row_id", "kind", "item")
+    assert (30, "glyph", "telephone") in once and (30, "hyphen", "telephone") in once
+    assert rows(scanned.findings(ten).distinct(), "row_id", "kind", "item") == once
+
+
+def test_context_only_chooses_between_candidates():
+    import numpy as np
+
+    around = {"modern": 0, "harbour": 1, "barbour": 2}
+    vectors = np.array([[0, 0], [-1, 0], [1, 0]], np.float32)
+    counts = {"harbour": 900, "barbour": 900, "modern": 900, "hatbour": 20, "modcrn": 20}
+    w = scanned.Words(counts, around, vectors, np.array([[1, 0]] * 3, np.float32))
+    assert w.correct("modcrn", ["barbour"]) == "modern" and w.correct("modcrn", []) == "modern"
+    assert w.correct("8arbour", ["modern"]) == "barbour"
+
+
 def test_repair_reads_on(spark, vocabulary):
     df = spark.createDataFrame([("x", 1, PAGES), ("x", 2, None)], ROW)
     got = {r["row_id"]: r["text"] for r in scanned.repair(df, vocabulary).collect()}

@@ -3,16 +3,18 @@
 Every distinct spelling is cut into folded tokens; forms of address go, legal
 forms get one spelling. Tokens one edit apart are found over a symmetric-delete
 index and a rare token takes the spelling of its frequent neighbour. Spellings
-left with the same tokens are one signature. Signatures that share a rare token
-are aligned by optimal assignment, which permits initials, nicknames, words cut
+left with the same tokens are one signature. Signatures that share a token of four
+letters or more are aligned by optimal assignment, which permits initials, nicknames, words cut
 short, acronyms and left-out generic words; a signature that fits two others that
 do not fit each other stays alone. Links are closed to classes by propagating the
 least signature.
 
-Blocks hold signatures (not rows, not spellings) that share a token found in at
-most ``RARE`` signatures, or the rarest token they have. Should more than
-``BLOCK`` signatures have the same rarest token, the block is split by the first
-letters of the other tokens, which aligned tokens always share.
+Blocks hold all the signatures (not rows, not spellings) that share a token, however
+common. Within a block only signatures that have a reading of another token in
+common are aligned: the token, what one deletion leaves of it, its beginning, its
+initial, its full name, or the initials of all the others (``readings``). Whatever
+can be aligned shares one, so none is lost. A block of up to ``BLOCK`` signatures is
+paired in one task, a larger one by exchange of the readings, with the same result.
 
 Defined cases: null, empty and blank names have no class; repeated names are one
 spelling; a name of signs only is its own class; extra columns are ignored; an
@@ -23,21 +25,21 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import combinations
+from itertools import combinations, product
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .symdelete import deletes, edits, fold, shortens
 
-#: Signatures that may share a token for it to open a block of its own.
-RARE = 60
-#: Signatures aligned in one task at most.
+#: Signatures of a block paired in one task at most; it changes no result.
 BLOCK = 2_000
+#: Cost up to which a fit is sure and ambiguity does not matter.
+SURE = 0.11
 
 #: Forms of address, legal forms and joining words. Fixed values.
 ADDRESS = frozenset("mr mrs ms miss dr prof herr fru frau hr froken mme madame mlle monsieur senor senora dhr mevr".split())
@@ -188,42 +190,109 @@ def _full(tokens: list[str]) -> bool:
     return len(tokens) > 1 and all(len(t) > 1 for t in tokens)
 
 
-def link_block(signatures: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
-    """Links within a block of ``(signature, legal form, rows)``."""
-    split = {s: s.split(" ") for s, _, _ in signatures}
-    legal = {s: form for s, form, _ in signatures}
+def readings(signature: str, token: str) -> set[tuple[str, str]]:
+    """``(reading, side)`` of the tokens beside ``token``.
+
+    Two signatures that hold ``token`` and fit share a reading under different
+    sides, or under the side ``=``. A signature of the one token fits no other.
+    """
+    rest = signature.split(" ")
+    rest.remove(token)
+    found: set[tuple[str, str]] = set()
+    nick = _nicknames()
+    for x in set(rest):
+        found.add(("=" + x, "="))
+        found |= {("n" + full, "<") for full in nick.get(x, ())}
+        if x in _full_names():
+            found.add(("n" + x, ">"))
+        if len(x) == 1:
+            found.add(("1" + x, "<"))
+            continue
+        found.add(("1" + x[0], ">"))
+        if len(x) >= 3:
+            found |= {("~" + d, x) for d in deletes(x, 1)}
+        # Cut forms are beginnings; squeezed ones keep the first letter and the order.
+        found.add(("p" + x, "<"))
+        found |= {("p" + x[:k], ">") for k in range(2, len(x))}
+        found.add(("s" + x[:3], "<"))
+        found |= {("s" + x[0] + y, ">") for y in set(x[1:])}
+        found |= {("s" + x[0] + y + z, ">") for y, z in set(combinations(x[1:], 2))}
+        if len(rest) == 1 and len(x) <= 4:
+            found.add(("a" + x, "<"))
+    initials = _initials(rest)
+    if 2 <= len(rest) <= 4:
+        found.add(("a" + initials, ">"))
+    # The token itself may be read as another while another is read as it.
+    if initials == token or any(token_cost(x, token) is not None for x in rest):
+        found.add(("*", "="))
+    return found
+
+
+@lru_cache(maxsize=1)
+def _full_names() -> frozenset[str]:
+    return frozenset().union(*_nicknames().values())
+
+
+def _sided(rows: list[tuple[str, str]]) -> Iterator[tuple[str, str]]:
+    """Pairs of ``(side, signature)`` with one reading that may fit."""
+    sides: dict[str, list[str]] = {}
+    for side, signature in rows:
+        sides.setdefault(side, []).append(signature)
+    yield from combinations(sides.pop("=", ()), 2)
+    for one, other in combinations(sides.values(), 2):
+        yield from product(one, other)
+
+
+def _costs(pairs: Iterable[tuple[str, str]], legal: dict[str, str]) -> dict[tuple[str, str], float]:
+    """``{(a, b): cost}`` of the pairs that fit, a < b."""
+    split = {s: s.split(" ") for s in legal}
     cost: dict[tuple[str, str], float] = {}
-    near: dict[str, list[str]] = {s: [] for s in split}
-    for a, b in combinations(split, 2):
-        if legal[a] and legal[b] and legal[a] != legal[b]:
+    for a, b in pairs:
+        if a > b:
+            a, b = b, a
+        if a == b or (a, b) in cost or legal[a] and legal[b] and legal[a] != legal[b]:
             continue
         c = fits(split[a], split[b])
         if c is not None:
-            cost[a, b] = cost[b, a] = c
-            near[a].append(b)
-            near[b].append(a)
-    links, ambiguous = set(), set()
-    for a, others in near.items():
-        # All the complete names it could stand for must be one sender's.
-        whole = [b for b in others if _full(split[b])] or others
-        loose = any(cost[a, b] >= 0.3 for b in whole)
-        if loose and any((x, y) not in cost and not _joined(x, y, near) for x, y in combinations(whole, 2)):
-            ambiguous.add(a)
-            others = [b for b in others if cost[a, b] <= 0.11]
-        links |= {(a, b) for b in others if _full(split[b]) or not _full(split[a])}
-    # A complete name is not drawn in by an ambiguous one.
-    return sorted(
-        {
-            (min(a, b), max(a, b))
-            for a, b in links
-            if cost[a, b] <= 0.11 or (a not in ambiguous and b not in ambiguous)
-        }
-    )
+            cost[a, b] = c
+    return cost
 
 
-def _joined(x: str, y: str, near: dict[str, list[str]]) -> bool:
-    """Two names that do not fit directly, but through a third complete one."""
-    return bool({z for z in near[x] if _full(z.split(" "))} & {z for z in near[y] if _full(z.split(" "))})
+def pair_block(signatures: list[tuple[str, str]], token: str) -> dict[tuple[str, str], float]:
+    """Costs of all the pairs that fit among ``(signature, legal form)`` holding ``token``."""
+    legal = dict(signatures)
+    if len(legal) <= 40:
+        return _costs(combinations(legal, 2), legal)
+    index: dict[str, list[tuple[str, str]]] = {}
+    for s in legal:
+        for reading, side in readings(s, token):
+            index.setdefault(reading, []).append((side, s))
+    return _costs({(min(p), max(p)) for rows in index.values() if len(rows) > 1 for p in _sided(rows)}, legal)
+
+
+def _unclear(others: dict[str, float], near: dict[str, set[str]]) -> bool:
+    """Could a name that is not complete stand for more than one sender?
+
+    All the complete names it fits must be one sender's: fit each other, or be
+    joined by a third complete one. A complete name joins those it fits itself.
+    """
+    whole = [b for b in others if _full(b.split(" "))] or list(others)
+    if not any(others[b] >= 0.3 for b in whole):
+        return False
+    full = {b: {z for z in near[b] if _full(z.split(" "))} for b in whole}
+    return any(y not in near[x] and full[x].isdisjoint(full[y]) for x, y in combinations(whole, 2))
+
+
+def link_block(signatures: list[tuple[str, str, int]]) -> list[tuple[str, str]]:
+    """Links among few ``(signature, legal form, rows)``, all pairs tried."""
+    legal = {s: form for s, form, _ in signatures}
+    cost = _costs(combinations(legal, 2), legal)
+    near: dict[str, dict[str, float]] = {s: {} for s in legal}
+    for (a, b), c in cost.items():
+        near[a][b] = near[b][a] = c
+    sets = {s: set(others) for s, others in near.items()}
+    ambiguous = {s for s, others in near.items() if not _full(s.split(" ")) and _unclear(others, sets)}
+    return sorted(p for p, c in cost.items() if c <= SURE or ambiguous.isdisjoint(p))
 
 
 def _respell(tokens: DataFrame) -> DataFrame:
@@ -279,30 +348,57 @@ def _signatures(names: DataFrame) -> DataFrame:
     )
 
 
-def _links(signatures: DataFrame) -> DataFrame:
-    """``(a, b)`` between signatures, found block by block."""
-    tokens = signatures.select("signature", "legal", "n", F.explode(F.array_distinct(F.split("signature", " "))).alias("token"))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("signature").orderBy("df", F.desc(F.length("token")), "token"))
-    block = (
-        tokens.filter(F.length("token") >= 4)
-        .join(df, "token")
-        .withColumn("rank", rank)
-        .filter((F.col("rank") == 1) | (F.col("df") <= RARE))
-        .select("token", "signature", "legal", "n", "df")
-    )
-    # A token that opens an oversized block is joined with the first letters of
-    # the other tokens, which tokens that can be aligned have in common.
-    letters = F.array_distinct(F.transform(F.filter(F.split("signature", " "), lambda t: t != F.col("token")), lambda t: F.substring(t, 1, 1)))
-    block = block.withColumn(
-        "part",
-        F.explode(F.when((F.col("df") > BLOCK) & (F.size(letters) > 0), letters).otherwise(F.array(F.lit("")))),
+def _fitting(signatures: DataFrame) -> DataFrame:
+    """``(a, b, cost)``, a < b: all the signatures that fit, found block by block."""
+    tokens = signatures.select("signature", "legal", F.explode(F.array_distinct(F.split("signature", " "))).alias("token"))
+    tokens = tokens.filter((F.length("token") >= 4) & F.col("signature").contains(" "))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    block = materialize(tokens.join(df, "token"), "blocks")
+    schema = "a string, b string, cost double"
+
+    def frame(cost: dict[tuple[str, str], float]) -> pd.DataFrame:
+        return pd.DataFrame([(a, b, c) for (a, b), c in cost.items()], columns=["a", "b", "cost"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return frame(pair_block(list(zip(pdf["signature"], pdf["legal"])), pdf["token"].iat[0]))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(t, d, *x, s, f) for t, d, s, f in zip(pdf["token"], pdf["df"], pdf["signature"], pdf["legal"]) for x in readings(s, t)]
+            yield pd.DataFrame(rows, columns=["token", "df", "reading", "side", "signature", "legal"])
+
+    def sided(pdf: pd.DataFrame) -> pd.DataFrame:
+        index: dict[str, list[tuple[str, str]]] = {}
+        for reading, side, signature in zip(pdf["reading"], pdf["side"], pdf["signature"]):
+            index.setdefault(reading, []).append((side, signature))
+        return frame(_costs((p for rows in index.values() for p in _sided(rows)), dict(zip(pdf["signature"], pdf["legal"]))))
+
+    small = block.filter(F.col("df") <= BLOCK).groupBy("token").applyInPandas(whole, schema)
+    large = (
+        block.filter(F.col("df") > BLOCK)
+        .mapInPandas(read, "token string, df bigint, reading string, side string, signature string, legal string")
+        .groupBy("token", F.expr(f"pmod(xxhash64(reading), 1 + 4 * df div {BLOCK})").alias("part"))
+        .applyInPandas(sided, schema)
     )
+    return small.unionByName(large).groupBy("a", "b").agg(F.min("cost").alias("cost"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(link_block(list(zip(pdf["signature"], pdf["legal"], pdf["n"]))), columns=["a", "b"])
 
-    return block.groupBy("token", "part").applyInPandas(run, "a string, b string").distinct()
+def _links(signatures: DataFrame) -> DataFrame:
+    """``(a, b)`` between signatures: those that fit, without ambiguous ones."""
+    fitting = materialize(_fitting(signatures), "fitting")
+    both = fitting.union(fitting.select("b", "a", "cost"))
+    near = both.groupBy("a").agg(F.collect_list("b").alias("near")).withColumnRenamed("a", "b")
+    # Complete names are two words or more, none of them an initial.
+    partial = ~F.col("a").contains(" ") | F.exists(F.split("a", " "), lambda t: F.length(t) == 1)
+
+    def unclear(pdf: pd.DataFrame) -> pd.DataFrame:
+        bad = _unclear(dict(zip(pdf["b"], pdf["cost"])), {b: set(n) for b, n in zip(pdf["b"], pdf["near"])})
+        return pd.DataFrame({"name": pdf["a"].iloc[: int(bad)]})
+
+    ambiguous = materialize(both.filter(partial).join(near, "b").select("a", "b", "cost", "near").groupBy("a").applyInPandas(unclear, "name string"), "ambiguous")
+    loose = fitting.filter(F.col("cost") > SURE)
+    clear = loose.join(ambiguous, loose["a"] == ambiguous["name"], "left_anti").join(ambiguous, F.col("b") == ambiguous["name"], "left_anti")
+    return fitting.filter(F.col("cost") <= SURE).unionByName(clear).select("a", "b")
 
 
 def _classes(signatures: DataFrame, links: DataFrame) -> DataFrame:

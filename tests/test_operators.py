@@ -127,6 +127,34 @@ def test_ambiguous_initial_stays_alone():
     assert got == []
 
 
+def test_names_of_one_common_token_are_linked(spark):
+    # Every name shares the surname, and "robert" is rarer than it.
+    import random
+
+    draw = random.Random(1)
+    firsts = ["".join([draw.choice("kmtv"), *draw.choices("aeidlnstu", k=6)]) for _ in range(80)]
+    full = ["Robert Andersson", "Robert Lind", "Robert Berg"]
+    df = spark.createDataFrame([(f"{f} Andersson",) for f in firsts] + [(n,) for n in [*full, "Bob Andersson", "R. Andersson"]], "correspondent string")
+    got = {tuple(r) for r in names.name_pairs(df).collect()}
+    assert {("Bob Andersson", "Robert Andersson"), ("R. Andersson", "Robert Andersson"), ("Bob Andersson", "R. Andersson")} <= got
+
+
+def test_blocks_equal_all_pairs(spark, monkeypatch):
+    import random
+
+    draw = random.Random(5)
+    tokens = "andersson andersen anders robert roberto robt bob bobby chris christina christopher rbrt r a c bank abcd ab ar banken northgate nb savings sav".split()
+    some = sorted({" ".join(sorted(draw.choices(tokens, k=draw.choice([1, 2, 2, 3, 3, 4])))) for _ in range(300)})
+    legal = {s: draw.choice(["", "", "", "ab", "ltd"]) for s in some}
+    want = names._costs(names.combinations(some, 2), legal)
+    df = spark.createDataFrame([(s, f, 1) for s, f in legal.items()], "signature string, legal string, n long")
+    links = set(names.link_block([(s, f, 1) for s, f in legal.items()]))
+    for size in (2_000, 20):
+        monkeypatch.setattr(names, "BLOCK", size)
+        assert {(r["a"], r["b"]): r["cost"] for r in names._fitting(df).collect()} == want
+        assert {(r["a"], r["b"]) for r in names._links(df).collect()} == links
+
+
 def test_tag_vocabulary(spark):
     used = ["mortgage"] * 5 + ["mortgages"] + ["council-tax"] * 4 + ["counciltax"] + ["year-2023"] * 3 + ["year-2024"] * 2 + ["tax-council"]
     df = spark.createDataFrame([([t],) for t in used], "tags array<string>")

@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.names import ADDRESS, LEGAL, NICKNAMES
-from ..operators.symdelete import fold
 from ..session import materialize, spread
+from .names import ADDRESS, LEGAL, NICKNAMES
+from .symdelete import fold
 
 #: Given names that are shipped to the workers at most, the most used first.
 MAX_GIVEN = 50_000

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators.symdelete import fold as fold_text
+from .folding import fold as fold_text
 from .text import clean_title, fold, slugify
 
 #: tag -> keywords; a keyword that ends in * matches anywhere inside a word. A

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folding import fold
 from ..functions.text import digits_of, fingerprint, slugify
 from ..session import materialize
-from .symdelete import fold
 
 CUTOFF = 0.88
 

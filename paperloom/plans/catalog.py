@@ -2,55 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from ..operators import canonical, frequency, names
-from ..session import table
 from . import reference
 
 
-def _p7(spark, sf):
-    return frequency.mark_terms(table(spark, sf, "document_meta"))
-
-
-_P = {
-    "p2_found": lambda s, d: canonical.map_rows(table(s, d, "document_meta"), table(s, d, "category_list")),
-    "p2_misses": lambda s, d: canonical.misses(table(s, d, "document_meta"), table(s, d, "category_list")),
-    "p5_found": lambda s, d: names.name_pairs(table(s, d, "document_meta")),
-    "p5_senders": lambda s, d: names.sender_index(table(s, d, "document_meta")),
-    "p7_found": lambda s, d: _p7(s, d).filter("mark is not null").select(F.col("term").alias("tag"), "mark"),
-    "p7_frequencies": lambda s, d: _p7(s, d).select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("notes"), "mark"),
-    "p7_ledger": lambda s, d: frequency.beside_ledger(_p7(s, d), table(s, d, "tag_groups")).withColumnRenamed("term", "tag").withColumnRenamed("records", "notes"),
-}
-
-
 def queries() -> dict:
-    return {**reference.QUERIES, **_P}
-
-
-_TAGS = """
-notes as (select distinct note_id, tags from document_meta),
-cleaned as (
-  select note_id, lower(regexp_replace(t, '^[\\s\\x{A0}]+|[\\s\\x{A0}]+$', '', 'g')) as tag
-  from (select note_id, unnest(tags) as t from notes)),
-counted as (select tag, count(*) as occurrences, count(distinct note_id) as notes from cleaned where tag <> '' group by tag),
-marked as (
-  select *, case when notes < 3 then 'rare' when notes * 8 > (select count(distinct note_id) from document_meta) then 'common' end as mark
-  from counted)
-"""
-
-_P_SQL = {
-    "p7_found": f"with {_TAGS} select tag, mark from marked where mark is not null",
-    "p7_frequencies": f"with {_TAGS} select tag, occurrences, notes, mark from marked",
-    "p7_ledger": f"""with {_TAGS},
-newest as (select canonical, arg_max(counts, coalesce(updated_at, timestamp '1970-01-01')) as counts from tag_groups group by canonical),
-spelled as (select canonical, unnest(map_entries(counts)) as e from newest),
-old as (select lower(regexp_replace(e.key, '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')) as tag, sum(e.value)::bigint as ledger_count, min(canonical) as canonical
-  from spelled group by 1)
-select coalesce(m.tag, o.tag) as tag, canonical, coalesce(occurrences, 0) as occurrences, coalesce(notes, 0) as notes, ledger_count, mark
-from marked m full join old o on m.tag = o.tag""",
-}
+    return dict(reference.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**reference.SQL, **_P_SQL}
+    return dict(reference.SQL)

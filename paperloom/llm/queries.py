@@ -16,13 +16,18 @@ def _p1(spark, sf):
     return language.vault_passages(table(spark, sf, "documents"), table(spark, sf, "document_meta"))
 
 
+def _secret(spark) -> str:
+    """The key of the surrogates: the session's, else one for tests."""
+    return spark.conf.get("paperloom.surrogates.key", "a key for tests")
+
+
 def _p6(spark, sf):
-    return personal.vault_findings(table(spark, sf, "extract_results"), table(spark, sf, "document_meta"))
+    return personal.vault_pseudonyms(table(spark, sf, "extract_results"), table(spark, sf, "document_meta"), _secret(spark))
 
 
-def _p6_replaced(spark, sf, secret=None):
-    texts = personal.vault_texts(table(spark, sf, "extract_results"), table(spark, sf, "document_meta"))
-    return personal.replace_findings(texts, _p6(spark, sf), secret)
+def _p6_texts(spark, sf):
+    notes = table(spark, sf, "document_meta")
+    return personal.vault_texts(table(spark, sf, "extract_results"), notes), personal.learn_given(notes)
 
 
 def _p3(spark, sf):
@@ -45,8 +50,9 @@ def queries() -> dict:
         "p3_found": lambda s, d: scanned.findings(_p3(s, d)).distinct(),
         "p3_repaired": lambda s, d: scanned.repair(_p3(s, d)),
         "p6_found": lambda s, d: _p6(s, d).select("src", "row_id", "kind", "value").distinct(),
-        "p6_placeholders": _p6_replaced,
-        "p6_surrogates": lambda s, d: _p6_replaced(s, d, "local key"),
+        "p6_placeholders": lambda s, d: personal.placeholders(*_p6_texts(s, d)),
+        "p6_surrogates": lambda s, d: personal.pseudonymise(*_p6_texts(s, d), _secret(s)),
+        "p6_entities": lambda s, d: _p6(s, d).groupBy("kind", "value", "surrogate").agg(F.count("*").alias("n")),
         "p1_found": lambda s, d: language.unnamed(_p1(s, d)),
         "p1_languages": lambda s, d: language.main_language(_p1(s, d)),
         "p4_found": lambda s, d: _p4(s, d).filter("kind in ('list', 'table', 'junk')").select("extract_id", "kind").distinct(),

@@ -195,30 +195,74 @@ def test_findings(spark):
 
 def test_placeholders_leave_the_rest(spark):
     df = spark.createDataFrame([("x", 1, PRIVATE), ("x", 2, None), ("x", 3, "none here\n")], ROW)
-    found = personal.findings(df, GIVEN)
-    got = {r["row_id"]: r["text"] for r in personal.replace_findings(df, found).collect()}
+    got = {r["row_id"]: r["text"] for r in personal.placeholders(df, GIVEN).collect()}
     assert got[2] is None and got[3] == "none here\n"
     want = PRIVATE.replace("06\n05", "06 05")
     for kind, value in sorted(WANT, key=lambda x: -len(x[1])):
         head, _, tail = want.partition(value)
         want = f"{head}[{kind.upper()}]{tail}"
     assert got[1] == want
+    assert personal.placeholders(df.limit(0), GIVEN).count() == 0
 
 
-def test_surrogates_are_consistent_and_distinct(spark):
-    df = spark.createDataFrame([("x", i, f"We met Vera Lindqvard{c} and Lindqvard{c}, Vera on 0701740{i:03d}.") for i in range(40) for c in "a"], ROW)
-    found = personal.findings(df, GIVEN)
-    got = [r["text"] for r in personal.replace_findings(df, found, "key").orderBy("row_id").collect()]
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_surrogates_are_consistent_and_distinct(spark, monkeypatch, most):
+    monkeypatch.setattr(personal, "MAX_REDRAWN", most)
+    df = spark.createDataFrame([("x", i, f"We met Vera Lindqvard{c} and Lindqvard{c}, Vera on 0701740{i:03d}. Write to vera.lindqvarda@mail.example.") for i in range(40) for c in "a"], ROW)
+    got = [r["text"] for r in personal.pseudonymise(df, GIVEN, "key").orderBy("row_id").collect()]
     first = [t.split(" and ")[0] for t in got]
     assert len(set(first)) == 1 and "Vera" not in first[0]
-    phones = [t.rsplit(" ", 1)[1] for t in got]
-    assert len(set(phones)) == 40 and all(len(p) == 11 for p in phones)
+    phones = [t.split(". Write")[0].rsplit(" ", 1)[1] for t in got]
+    assert len(set(phones)) == 40 and all(len(p) == 10 for p in phones)
     name = first[0].removeprefix("We met ").split()
-    assert f"{name[1]}, {name[0]}" in got[0]
-    other = personal.replace_findings(df, found, "other key").orderBy("row_id").first()["text"]
+    assert f"{name[1]}, {name[0]}" in got[0] and f"{name[0]}.{name[1]}@mail.".lower() in got[0]
+    other = personal.pseudonymise(df, GIVEN, "other key").orderBy("row_id").first()["text"]
     assert other != got[0]
 
 
+def test_surrogates_keep_type_and_format():
+    def made(kind, value):
+        return personal.surrogate(kind, value, "key", None, frozenset({"john", "jane", "vera"}))
+
+    for value in ("811228-9874", "198112289874", "811288-9874", "8112289864"):
+        new = made("idnum", value)
+        digits = "".join(c for c in new if c.isdigit())[-10:]
+        assert [c.isdigit() for c in new] == [c.isdigit() for c in value] and personal.luhn(digits)
+        assert 1 <= int(digits[2:4]) <= 12 and 1 <= int(digits[4:6]) % 60 <= 28 and int(digits[4:6]) // 60 == int(value[-7 if "-" in value else -6]) // 6
+        assert int(digits[8]) % 2 == int(value[-2]) % 2
+    assert made("idnum", "811228-9874").replace("-", "") == made("idnum", "198112289874")[2:]
+    assert "".join(made("phone", "+44 1632 960225").split()[1:]) == made("phone", "01632 960225")[1:].replace(" ", "")
+    given, last = made("name", "John Smith").split()
+    assert made("name", "Smith, John") == f"{last}, {given}" and made("name", "J. Smith") == f"{given[0]}. {last}" and made("name", "JOHN SMITH") == f"{given} {last}".upper()
+    assert made("email", "john.smith@mail.example.org").startswith(f"{given}.{last}@mail.".lower())
+    assert all("CYRILLIC" in __import__("unicodedata").name(c) for c in made("name", "Иван Петров") if c.isalpha())
+    assert made("address", "221 Baker Street").endswith(" Street") and made("address", "Lindåsgatan 12 B, lgh 1101").split()[0].endswith("gatan")
+    assert made("address", "12 bis, rue de la Paix").split()[1:5] == ["bis,", "rue", "de", "la"]
+    assert personal.is_female("anna") and not personal.is_female("john") and personal.is_female("birgitta") and not personal.is_female("ottokar")
+    assert made("name", "Vera Holm").split()[0][-1] == "a"
+
+
+def test_no_surrogate_is_shared_or_real(spark):
+    # Two figures are free, so nearly all of the numbers clash at first.
+    df = spark.createDataFrame([("x", i, f"Call 0701 {i:06d} or Vera Bo{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'aeiou'[i % 5]}n now.") for i in range(0, 3000)], ROW)
+    found = personal.findings(df, GIVEN)
+    drawn = personal.drawn_entities(found, "key", GIVEN).collect()
+    for space in ({"given", "word"}, {"phone"}):
+        made_ = [r["made"] for r in drawn if r["kind"] in space]
+        assert len(made_) == len(set(made_)) and not set(made_) & {r["entity"] for r in drawn if r["kind"] in space}
+    rows_ = personal.pseudonyms(found, "key", GIVEN).select("kind", "value", "surrogate").distinct().collect()
+    assert len({r["surrogate"] for r in rows_}) == len(rows_)
+
+
+def test_given_names_are_learned_at_any_size(spark):
+    last = "Lindhag Bergfalk Stenquer Almdahl Norrvik Sjoholt Ekmark Grankvist Hagdorf Tornblad".split()
+    for n in (5, 20, 120):
+        given = [f"{a}{b}{c}" for a in ("Zek", "Mor", "Tal", "Vin", "Pos") for b in ("ika", "olo", "unde", "eri", "aba") for c in ("ra", "so", "k", "ma", "tt")][:n]
+        df = spark.createDataFrame([(f"{g} {x}", "Kontakta " + f"{g} {x} nu.") for g in given for x in last], "correspondent string, summary string")
+        learned = personal.learn_given(df)
+        assert {g.lower() for g in given} <= learned and "kontakta" not in learned
+
+
 def test_very_long_texts(spark, vocabulary):
     """Long runs of blanks, of one letter and of words are read in time that follows their length."""
     for text in (" " * 400_000 + "x", "a" * 400_000, ("word " * 20 + "\n") * 4_000, "\n" * 200_000, "- " * 100_000, "1 " * 150_000, "Aa " * 100_000, "@" * 100_000):

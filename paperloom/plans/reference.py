@@ -147,8 +147,9 @@ def _body():
 
 @query(
     "link_targets",
-    f"with {_N}, b as (select note_id, {_BODY} as body from notes) select note_id, list_concat(regexp_extract_all(body, '!?\\[\\[([^\\]|#]+)(?:[#|][^\\]]*)?\\]\\]', 1), "
-    "regexp_extract_all(body, '\\]\\(<?([^)>\\s]+)>?\\)', 1)) as targets from b",
+    f"with {_N}, b as (select note_id, {_BODY} as body from notes) select note_id, list_concat("
+    "list_filter(list_transform(list_filter(string_split(body, '[[')[2:], lambda x: contains(x, ']')), lambda x: split_part(split_part(split_part(x, ']', 1), '|', 1), '#', 1)), lambda x: x <> ''), "
+    "list_filter(list_transform(list_filter(string_split(body, '](')[2:], lambda x: contains(x, ')')), lambda x: split_part(x, ')', 1)), lambda x: x <> '' and not regexp_matches(x, '[\\s<>]'))) as targets from b",
 )
 def link_targets(s, d):
     return _notes(s, d).select("note_id", text.link_targets(_body()).alias("targets"))
@@ -196,10 +197,13 @@ def note_round_trip(s, d):
     return notes.select("note_id", text.front_value(c, "title").alias("title"), text.front_value(c, "date").alias("date"), text.front_list(c, "tags").alias("tags"))
 
 
-@query("text_blocks", "select doc_id, style, text as embedded from documents, (values ('callout'), ('details'), ('plain')) s(style) where length(text) > 0 and not contains(text, chr(13)) and not contains(text, '```') and not ends_with(text, chr(10)) and not regexp_matches(text, '(?m)^>') and not contains(text, chr(133)) and not contains(text, chr(8232))")
+#: A line of the text that begins like a fence ends the block.
+_UNFENCED = "case when starts_with(text, '```') then '' when contains(text, chr(10) || '```') then substr(text, 1, strpos(text, chr(10) || '```') - 1) else text end"
+
+
+@query("text_blocks", f"select doc_id, style, {_UNFENCED} as embedded from documents, (values ('callout'), ('details'), ('plain')) s(style) where text is not null")
 def text_blocks(s, d):
-    docs = table(s, d, "documents").filter("length(text) > 0").filter(~F.contains("text", F.lit("\r")) & ~F.contains("text", F.lit("```")) & ~F.endswith("text", F.lit("\n")))
-    docs = docs.filter(~F.col("text").rlike(r"(?m)^>") & ~F.contains("text", F.lit("\x85")) & ~F.contains("text", F.lit(" ")))
+    docs = table(s, d, "documents").filter("text is not null")
     each = [docs.select("doc_id", text.text_block(F.col("text"), style).alias("body")) for style in ("callout", "details", "plain")]
     all_ = each[0].unionByName(each[1]).unionByName(each[2])
     return all_.select("doc_id", text.text_style(F.col("body")).alias("style"), text.embedded_text(F.col("body")).alias("embedded"))
@@ -363,8 +367,8 @@ def _dated(s, d):
 
 @query("date_from_text", f"select o_orderkey, o_orderdate::date as value, 'invoice date' as label from orders where o_orderdate::date <= date '{TODAY}'")
 def date_from_text(s, d):
-    found = spread(_dated(s, d)).select("o_orderkey", dates.find_dates(F.col("text"), TODAY).alias("f")).filter(F.size("f") > 0)
-    return found.select("o_orderkey", dates.best_date(F.col("f")).alias("b")).select("o_orderkey", "b.value", "b.label")
+    found = spread(_dated(s, d)).select("o_orderkey", dates.main_dates(F.col("text"), TODAY).alias("b"))
+    return found.filter("b.value is not null").select("o_orderkey", "b.value", "b.label")
 
 
 @query("date_candidates")
@@ -375,8 +379,8 @@ def date_candidates(s, d):
 
 @query("document_dates")
 def document_dates(s, d):
-    found = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", dates.find_dates(F.col("text"), TODAY).alias("f"))
-    return found.select("doc_id", dates.best_date(F.col("f")).alias("best"), dates.strong_date(F.col("f")).alias("strong")).select("doc_id", "best.value", "best.label", "strong")
+    found = spread(table(s, d, "documents").select("doc_id", "text")).select("doc_id", dates.main_dates(F.col("text"), TODAY).alias("b"))
+    return found.select("doc_id", "b.value", "b.label", "b.strong")
 
 
 _DMY = "strftime(o_orderdate, '%-d/%-m/%Y')"

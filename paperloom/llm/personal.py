@@ -331,7 +331,7 @@ _STREET_END = re.compile(
 )
 _WORD = re.compile(r"[^\W\d_]+")
 #: Rounds of drawing again after which something is wrong.
-MOST_ROUNDS = 200
+MOST_ROUNDS = 60
 #: Entities drawn again that are shipped to the workers; more are joined.
 MAX_REDRAWN = 200_000
 
@@ -397,6 +397,8 @@ def made_word(word: str, given: bool, secret: str, attempt: int, longer: int | N
     """
     draw = Draw(secret, "word", word, attempt)
     script = script_of(word)
+    if word.isdigit():
+        return "".join(str(draw(10)) for _ in range(len(word) + (attempt + 1) // 2))
     if script not in SCRIPTS:
         first = ord(word[0]) & ~31
         letters = [c for c in map(chr, range(first, first + 32)) if c.isalpha() and unicodedata.name(c, "").startswith(script)]
@@ -425,9 +427,10 @@ def national(phone: str) -> str:
 
 
 def made_phone(number: str, secret: str, attempt: int) -> str:
-    """A national number of the same area."""
+    """A national number of the same area; where that is full, of one nearby."""
     draw = Draw(secret, "phone", number, attempt)
-    return number[:2] + "".join(str(draw(10)) for _ in number[2:])
+    kept = 2 if attempt < 8 else 1 if attempt < 16 else 0
+    return number[:kept] + "".join(str(draw(10)) for _ in number[kept:])
 
 
 def check_digit(nine: str) -> str:

@@ -7,8 +7,11 @@ host (channel, then batch below it) speak through priors; host priors are
 counted by grouped aggregation over all rows and smoothed hierarchically: batch
 counts lean on those of the channel, these on those of the whole table.
 
-Every text is cut into sentences; each gets its posterior, and neighbouring
-sentences of one language form a passage.
+Every text is cut into sentences; each gets its own posterior, and neighbouring
+sentences of one language form a passage. The confidence of a passage is its
+posterior: the log-likelihoods of its words, tempered because words of one text
+are not independent (n words weigh as much as 2 sqrt(n) independent ones), plus
+the log-prior, once.
 
 Defined cases: null, empty and blank texts have no passage; a text without known
 words takes the language its priors favour, with their confidence; a label that
@@ -34,8 +37,6 @@ from .words import FUNCTION_WORDS, LANGUAGES, languages_named
 
 #: Labelled rows that the word likelihoods are fitted on at most.
 FIT_ROWS = 20_000
-#: Words kept of the fit at most, the most frequent first.
-FIT_WORDS = 40_000
 #: Rows of host priors that are broadcast at most; more are joined.
 BROADCAST_HOSTS = 50_000
 #: Characters that a reported passage has at least.
@@ -46,6 +47,8 @@ SURE = 0.98
 SMOOTHING = 20.0
 #: How often a label is right, as evidence.
 LABEL_TRUST = 0.9
+#: Weight of the priors beside the words: label, host and addresses are no independent witnesses.
+PRIOR_WEIGHT = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"(?<=[.!?:])[\"'»”)]*\s+(?=[\"'«“(]*[^\W\d_a-zåäöæøéèàêç])")
@@ -84,13 +87,14 @@ class Model:
         return len(self.ids)
 
 
-def fit(df: DataFrame, text: str = "text", label: str = "language", rows: int = FIT_ROWS) -> Model:
-    """Word counts by language over a bounded sample of labelled rows."""
-    labelled = df.filter(F.length(F.trim(label)) > 0).select(F.col(text).alias("text"), F.col(label).alias("label"))
+def fit(df: DataFrame, text: str = "text", label: str = "language", rows: int = FIT_ROWS, key: str = "doc_id") -> Model:
+    """Word counts by language over a bounded sample of labelled rows, drawn by their key."""
+    labelled = df.filter(F.length(F.trim(label)) > 0).select(F.col(text).alias("text"), F.col(label).alias("label"), F.col(key).alias("key"))
     total = labelled.count()
     if total > rows:
         cut = int(rows / total * (1 << 30))
-        labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < cut)
+        labelled = labelled.filter(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) < cut)
+    labelled = labelled.select("text", "label")
     sets = {c: set(words) for c, words in FUNCTION_WORDS.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,21 +117,36 @@ def fit(df: DataFrame, text: str = "text", label: str = "language", rows: int =
 
     counted = spread(labelled).mapInArrow(run, "word string, code string, n bigint").groupBy("word").pivot("code", list(LANGUAGES)).sum("n")
     total_n = sum((F.coalesce(F.col(c), F.lit(0)) for c in LANGUAGES), F.lit(0))
-    best = counted.withColumn("total", total_n).filter("total >= 3").orderBy(F.desc("total"), "word").limit(FIT_WORDS).collect()
+    # As many words as the bounded sample holds three times or more.
+    best = counted.withColumn("total", total_n).filter("total >= 3").collect()
     return Model({r["word"]: {c: r[c] or 0 for c in LANGUAGES} for r in best})
 
 
-def host_priors(rows: DataFrame) -> DataFrame:
-    """``(channel, batch, prior)``: smoothed log-priors of each host, from declared labels.
+def declared_hosts(rows: DataFrame) -> DataFrame:
+    """``(channel, batch, code, n)``: rows by host and the one language their label declares.
 
-    ``rows`` has ``channel``, ``batch`` and ``code`` (one declared language or null).
+    Labels are counted before they are read: a label is read once a host.
     """
-    counts = rows.filter("code is not null").groupBy("channel", "batch", "code").agg(F.count("*").alias("n"))
+
+    @F.pandas_udf("string")
+    def one(labels):
+        seen = {}
+        for v in labels.unique():
+            named = languages_named(v)
+            seen[v] = next(iter(named)) if len(named) == 1 else None
+        return labels.map(seen)
+
+    labels = rows.filter(F.length(F.trim("label")) > 0).groupBy("channel", "batch", "label").agg(F.count("*").alias("n"))
+    coded = labels.select("channel", "batch", one("label").alias("code"), "n")
+    return coded.filter("code is not null").groupBy("channel", "batch", "code").agg(F.sum("n").alias("n"))
+
+
+def host_priors(counts: DataFrame) -> DataFrame:
+    """``(channel, batch, prior)``: smoothed log-priors of each host from ``(channel, batch, code, n)``."""
     by_batch = counts.groupBy("channel", "batch").pivot("code", list(LANGUAGES)).sum("n").fillna(0)
     by_channel = counts.groupBy("channel").pivot("code", list(LANGUAGES)).sum("n").fillna(0)
-    total = counts.groupBy().pivot("code", list(LANGUAGES)).sum("n").fillna(0)
-    top = total.collect()
-    base = [(top[0][c] or 0) + 1.0 for c in LANGUAGES] if top else [1.0] * len(LANGUAGES)
+    total = {r["code"]: r["n"] for r in counts.groupBy("code").agg(F.sum("n").alias("n")).collect()}
+    base = [total.get(c, 0) + 1.0 for c in LANGUAGES]
     share = [b / sum(base) for b in base]
     channel = by_channel.select(
         F.col("channel").alias("channel_"),
@@ -141,20 +160,6 @@ def host_priors(rows: DataFrame) -> DataFrame:
     return joined.select("channel", "batch", F.array(*[F.log((F.col(c) + SMOOTHING * F.col(f"up_{c}")) / size) for c in LANGUAGES]).alias("prior"))
 
 
-def declared(label: str):
-    """A column with the one language a label names, else null."""
-
-    @F.pandas_udf("string")
-    def one(labels):
-        seen: dict = {}
-        for v in labels.unique():
-            named = languages_named(v)
-            seen[v] = next(iter(named)) if len(named) == 1 else None
-        return labels.map(seen)
-
-    return one(F.col(label))
-
-
 def sentences(text: str) -> list[tuple[bool, str]]:
     """``(running, sentence)`` of a text without its items, cells and noise.
 
@@ -237,9 +242,8 @@ def passages_of(texts: list[str], priors: np.ndarray, labels: list[str | None],
         named = [LANGUAGES.index(c) for c in languages_named(label)]
         if named:
             prior[i, named] += math.log(LABEL_TRUST / (1 - LABEL_TRUST))
-    # Priors favour a language by a few words' worth; sentences decide.
-    like += 0.5 * prior[np.array(owner)]
-    best = like.argmax(axis=1)
+    # A sentence by itself has the prior too; it tells where a passage ends.
+    best = (like + PRIOR_WEIGHT * prior[np.array(owner)]).argmax(axis=1)
     i = 0
     while i < len(owner):
         j, total, size, words, whole = i, np.zeros(len(LANGUAGES)), 0, 0, 0
@@ -250,7 +254,7 @@ def passages_of(texts: list[str], priors: np.ndarray, labels: list[str | None],
                 whole += proper[j]
             size += chars[j] + (j > i) if proper[j] else 0
             j += 1
-        sure = _softmax(np.clip(total / max(1.0, math.sqrt(max(words, 1)) / 2), -50, 50))
+        sure = _softmax(total * min(1.0, 2 / math.sqrt(max(words, 1))) + PRIOR_WEIGHT * prior[owner[i]])
         out[owner[i]].append((LANGUAGES[int(best[i])], float(sure[best[i]]), int(size), int(words), int(whole)))
         i = j
     return out
@@ -269,17 +273,19 @@ def _rows(df: DataFrame, src: str, key: str, text: str, label: str, channel: str
 
 
 def passages(rows: DataFrame, model: Model) -> DataFrame:
-    """``(src, row_id, label, passage, language, confidence, chars, words, sentences)``.
+    """``(src, row_id, label, named, passage, language, confidence, chars, words, sentences)``.
 
-    ``rows`` has ``src, row_id, text, label, channel, batch``.
+    ``rows`` has ``src, row_id, text, label, channel, batch``; ``named`` tells
+    whether the label names the passage's language.
     """
-    hosts = materialize(host_priors(rows.select("channel", "batch", declared("label").alias("code"))), "hosts")
+    counts = materialize(declared_hosts(rows.select("channel", "batch", "label")), "labels")
+    hosts = materialize(host_priors(counts), "hosts")
     right = hosts.select(F.col("channel").alias("c_"), F.col("batch").alias("b_"), "prior")
     if hosts.count() <= BROADCAST_HOSTS:
         right = F.broadcast(right)
     joined = spread(rows).join(right, F.col("channel").eqNullSafe(F.col("c_")) & F.col("batch").eqNullSafe(F.col("b_")), "left")
     flat = np.full(len(LANGUAGES), -math.log(len(LANGUAGES)), dtype=np.float32)
-    shipped = rows.sparkSession.sparkContext.broadcast(model)  # at most FIT_WORDS rows
+    shipped = rows.sparkSession.sparkContext.broadcast(model)  # the words of FIT_ROWS texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
@@ -287,15 +293,16 @@ def passages(rows: DataFrame, model: Model) -> DataFrame:
             src, row_id, text, label, prior = (batch.column(i).to_pylist() for i in range(5))
             priors = np.array([p if p is not None else flat for p in prior], dtype=np.float32).reshape(-1, len(LANGUAGES))
             out = passages_of(text, priors, label, m)
-            rows = [(src[i], row_id[i], label[i], k, *p) for i, ps in enumerate(out) for k, p in enumerate(ps)]
-            columns = list(zip(*rows)) or [()] * 9
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
-            names = ["src", "row_id", "label", "passage", "language", "confidence", "chars", "words", "sentences"]
+            named = [languages_named(x) for x in label]
+            rows = [(src[i], row_id[i], label[i], p[0] in named[i], k, *p) for i, ps in enumerate(out) for k, p in enumerate(ps)]
+            columns = list(zip(*rows)) or [()] * 10
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
+            names = ["src", "row_id", "label", "named", "passage", "language", "confidence", "chars", "words", "sentences"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return joined.select("src", "row_id", "text", "label", "prior").mapInArrow(
         run,
-        "src string, row_id bigint, label string, passage int, language string, confidence double, chars int, words int, sentences int",
+        "src string, row_id bigint, label string, named boolean, passage int, language string, confidence double, chars int, words int, sentences int",
     )
 
 
@@ -313,11 +320,7 @@ def unnamed(found: DataFrame) -> DataFrame:
     """``(src, row_id, lang)``: languages of long passages that the label does not name."""
     long = found.filter((F.col("chars") >= LEAST_CHARS) & (F.col("sentences") >= 1) & (F.col("confidence") >= SURE))
 
-    @F.pandas_udf("boolean")
-    def names(labels, codes):
-        return labels.combine(codes, lambda a, b: b in languages_named(a))
-
-    return long.filter(~names("label", "language")).select("src", "row_id", F.col("language").alias("lang")).distinct()
+    return long.filter("not named").select("src", "row_id", F.col("language").alias("lang")).distinct()
 
 
 def main_language(found: DataFrame) -> DataFrame:

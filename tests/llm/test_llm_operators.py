@@ -122,7 +122,33 @@ def test_share_equals_brute_force(spark):
 def test_spans_of_nothing(spark):
     assert spans.sharing_pairs(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError):
-        spans.shared_spans(spark.createDataFrame([], "doc_id long, text string"), least=50)
+        spans.sharing_pairs(spark.createDataFrame([], "doc_id long, text string"), least=50)
+    assert spans.shared_share(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("alphabet", ["prose", "abcd", "abcdefghijklmnopqrstuvwxyz ", "ab"])
+def test_spans_at_the_limit_have_a_run_in_common(alphabet):
+    """Spans of exactly 300 characters between different neighbours, 1,700 of each kind."""
+    rng = random.Random(alphabet)
+    vocabulary = (EN + SV + DE).split()
+
+    def some(n):
+        if alphabet == "prose":
+            t = ""
+            while len(t) < n:
+                t += rng.choice(vocabulary) + " " * rng.choice([1, 1, 1, 2, 30])
+            return t[:n]
+        return "".join(rng.choices(alphabet, k=n))
+
+    for _ in range(17):
+        span = [some(300) for _ in range(100)]
+        left, right = ([some(rng.randint(0, 90)) + s + some(rng.randint(0, 90)) for s in span] for _ in range(2))
+        names = []
+        for texts in (left, right):
+            run, which, _, _ = spans.run_names(texts, spans.cover_of(300))
+            names.append(set(zip(which.tolist(), run.tolist())))
+        both = {i for i, _ in names[0] & names[1]}
+        assert both == set(range(100))
 
 
 # --- 1: languages -------------------------------------------------------------------
@@ -141,7 +167,7 @@ def test_passages(spark):
         (7, "", "en", None, None), (8, NL * 2, "Dutch", "scan", "b1"), (9, "gima leboba noske staba " * 20, "en", "scan", "b1"),
     ]
     df = spark.createDataFrame(docs, "row_id long, text string, label string, channel string, batch string").withColumn("src", F.lit("documents"))
-    model = language.fit(df, "text", "label")
+    model = language.fit(df, "text", "label", key="row_id")
     got = language.passages(df, model)
     assert rows(language.unnamed(got), "row_id", "lang") == [(1, "sv"), (3, "de")]
     best = {r["row_id"]: r["language"] for r in language.main_language(got).collect()}
@@ -149,6 +175,24 @@ def test_passages(spark):
     assert language.passages(df.limit(0), model).count() == 0
 
 
+def test_confidence_does_not_fall_with_length():
+    danish = "Ifølge vores oplysninger er betalingen for tagreparationen blevet bogført og vises på det næste udtog, så du ikke behøver gøre mere. "
+    for model in (language.Model({}), language.Model({w: {"da": 3, "sv": 1} for w in language._WORD.findall(danish.lower())})):
+        flat = np.full((1, len(words.LANGUAGES)), -np.log(len(words.LANGUAGES)), np.float32)
+        seen = [language.passages_of([danish * n], flat.copy(), [None], model)[0] for n in (1, 16, 80, 1500)]
+        assert all(len(p) == 1 and p[0][0] == "da" for p in seen)
+        sure = [p[0][1] for p in seen]
+        assert sure == sorted(sure) and sure[-1] > 0.99
+
+
+def test_the_prior_counts_once_a_passage():
+    model = language.Model({})
+    flat = np.full((1, len(words.LANGUAGES)), -np.log(len(words.LANGUAGES)), np.float32)
+    text = SV * 30
+    for label in ("English", "German and English", "en"):
+        assert language.passages_of([text], flat.copy(), [label], model)[0][0][:2] > ("sv", 0.99)
+
+
 # --- 4: statistics -------------------------------------------------------------------
 
 

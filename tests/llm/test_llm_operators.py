@@ -330,7 +330,7 @@ PAGES = (
 @pytest.fixture(scope="module")
 def vocabulary(spark):
     text = EN * 3 + "the renovation was recorded. second-hand piano of the statement. The payment was recorded by the bank. "
-    df = spark.createDataFrame([("x", i, text) for i in range(30)], ROW)
+    df = spark.createDataFrame([("x", i, text) for i in range(30)] + [("x", 30, PAGES)], ROW)
     return scanned.learn(df)
 
 
@@ -357,14 +357,29 @@ def test_scan_findings_do_not_depend_on_the_size_of_the_corpus(spark):
 
 
 def test_context_only_chooses_between_candidates():
-    import numpy as np
-
-    around = {"modern": 0, "harbour": 1, "barbour": 2}
-    vectors = np.array([[0, 0], [-1, 0], [1, 0]], np.float32)
-    counts = {"harbour": 900, "barbour": 900, "modern": 900, "hatbour": 20, "modcrn": 20}
-    w = scanned.Words(counts, around, vectors, np.array([[1, 0]] * 3, np.float32))
-    assert w.correct("modcrn", ["barbour"]) == "modern" and w.correct("modcrn", []) == "modern"
-    assert w.correct("8arbour", ["modern"]) == "barbour"
+    pairs = np.zeros((2, 3), np.float32)
+    pairs[0, 0], pairs[1, 1] = 50, 50
+    word, context = scanned.skip_gram(pairs)
+    company = scanned.Company({"ships": 0, "trees": 1, "the": 2}, dict(zip(["harbour", "barbour"], word)), context)
+    w = scanned.Words(frozenset(), {"8arbour": ("harbour", "barbour"), "modcrn": ("modern",)}, frozenset(), company)
+    assert w.correct("modcrn", ["trees"]) == "modern" and w.correct("modern", []) is None
+    assert w.correct("8arbour", ["trees"]) == "barbour" and w.correct("8arbour", ["ships"]) == "harbour" and w.correct("8arbour", []) == "harbour"
+
+
+def test_joined_links_find_the_same(spark, monkeypatch):
+    text = EN * 3 + "the renovation was recorded. second-hand piano of the statement. The payment was recorded by the bank. "
+    df = spark.createDataFrame([("x", i, text) for i in range(30)] + [("x", 40, PAGES), ("x", 40, PAGES), ("y", 1, None), ("y", None, PAGES + "the p@yment")], ROW)
+    shipped = rows(scanned.findings(df))
+    mended = rows(scanned.repair(df))
+    monkeypatch.setattr(scanned, "MAX_LINKS", 0)
+    assert scanned.learn(df)[1] is not None
+    assert rows(scanned.findings(df)) == shipped and rows(scanned.repair(df)) == mended
+    assert {"payment", "recorded"} <= {r[3] for r in shipped if r[2] == "glyph"}
+
+
+def test_short_words_are_meant_by_figures_only(spark):
+    df = spark.createDataFrame([("x", i, EN + "The date of the post and the bank. ") for i in range(40)] + [("x", 40, EN + "The da7e of the p0st and the 6ank and the hand.")], ROW)
+    assert [r[3] for r in rows(scanned.findings(df)) if r[1] == 40] == ["bank", "post"]
 
 
 def test_repair_reads_on(spark, vocabulary):

@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 from .tokenize import count_tokens
 
-#: Sub-ranges in which ranks within one length are counted, so that a length
-#: held by a third of all items is not numbered in one task.
-SALTS = 64
+#: Items of one length numbered in one task, about. A length is cut into as many
+#: sub-ranges as it would need if all items had it, so that one held by a third of
+#: them is spread over tasks at any size.
+PER_TASK = 1_000_000
 
 
 def plan_histogram(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -98,8 +99,9 @@ def pack(sizes: DataFrame, capacity: int = 2048, key: str = "doc_id", size: str
             )
         ).alias("p"),
     ).select("item", "p.*")
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(SALTS)).cast("int"))
-    # At most (capacity + 1) * SALTS rows, whatever the number of items; the driver sees a row a length.
+    salts = max(8, -(-sizes.count() // PER_TASK))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(salts)).cast("int"))
+    # At most a row for each length and salt; the driver sees a row a length.
     cells = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "cells")
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

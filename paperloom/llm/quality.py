@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, spread
@@ -197,7 +197,7 @@ def undoubted(chars: np.ndarray, shapes: np.ndarray, layouts: np.ndarray, lines:
 
 
 _FIELDS = (
-    "words bigint, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, "
+    "words bigint, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, word_share double, "
     "known bigint, seed string, language string, classes array<float>, shapes array<float>, layouts array<float>"
 )
 
@@ -210,7 +210,7 @@ def text_statistics(df: DataFrame, key: str = "extract_id", text: str = "text")
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             classes = char_counts(texts).astype(np.float32)
-            out: dict[str, list] = {k: [] for k in ("words", "mean", "symbol", "ends", "common", "known", "seed", "lang", "shapes", "layouts")}
+            out: dict[str, list] = {k: [] for k in ("words", "mean", "symbol", "ends", "common", "shaped", "known", "seed", "lang", "shapes", "layouts")}
             for i, t in enumerate(texts):
                 solid = classes[i].sum() - classes[i][3] - classes[i][4]
                 suspect = bool(classes[i][5:].sum() >= 0.25 * solid) or _STROKE.search(t) is not None
@@ -221,6 +221,9 @@ def text_statistics(df: DataFrame, key: str = "extract_id", text: str = "text")
                 out["symbol"].append(float(classes[i][5:].sum() / solid) if solid else 0.0)
                 out["ends"].append(ends / lines if lines else 0.0)
                 out["common"].append(kinds[0] / n if n else 0.0)
+                # Of the tokens with letters those that look like words; figures by themselves are neither.
+                lettered = n - kinds[4] - kinds[5]
+                out["shaped"].append((kinds[0] + kinds[1]) / lettered if lettered > 0 else 0.0)
                 out["known"].append(int(len(t.strip())))
                 out["seed"].append(undoubted(classes[i], k, lay, lines, ends))
                 out["lang"].append(LANGUAGES[int(np.argmax(hits))] if any(hits) else None)
@@ -235,6 +238,7 @@ def text_statistics(df: DataFrame, key: str = "extract_id", text: str = "text")
                 pa.array(out["symbol"], pa.float64()),
                 pa.array(out["ends"], pa.float64()),
                 pa.array(out["common"], pa.float64()),
+                pa.array(out["shaped"], pa.float64()),
                 pa.array(out["known"], pa.int64()),
                 pa.array(out["seed"], pa.string()),
                 pa.array(out["lang"], pa.string()),
@@ -278,6 +282,8 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (a + b) / 2
 
 
+COUNTS = ("words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share", "word_share")
+
 #: Weights of characters, token shapes and line layouts in the comparison.
 WEIGHTS = (1.0, 1.0, 1.0)
 
@@ -300,15 +306,15 @@ def classify(stats: DataFrame, key: str = "extract_id", known: dict | None = Non
             kind = [names[b].split()[0] if e else None for b, e in zip(best, enough)]
             profile = [names[b] if e else None for b, e in zip(best, enough)]
             jsd = np.where(enough, total[np.arange(len(best)), best], np.nan)
-            keep = [get[c] for c in (key, "words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share")]
+            keep = [get[c] for c in (key, *COUNTS)]
             yield pa.RecordBatch.from_arrays(
                 [*keep, pa.array(kind, pa.string()), pa.array(profile, pa.string()), pa.array(jsd, pa.float64(), mask=~enough)],
-                [key, "words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share", "kind", "profile", "jsd"],
+                [key, *COUNTS, "kind", "profile", "jsd"],
             )
 
     schema = (
         f"{key} {stats.schema[key].dataType.simpleString()}, words bigint, mean_word_length double, symbol_ratio double, "
-        "punct_line_share double, common_share double, kind string, profile string, jsd double"
+        "punct_line_share double, common_share double, word_share double, kind string, profile string, jsd double"
     )
     return stats.mapInArrow(run, schema)
 
@@ -317,28 +323,45 @@ def text_kinds(df: DataFrame, key: str = "extract_id", text: str = "text") -> Da
     return classify(materialize(text_statistics(df, key, text), "statistics"), key)
 
 
+#: Ratios further apart than this were taken from another text. The older version had other
+#: lists of common words and counted figures otherwise, so the ratios do not agree to the point.
+FAR = {"word": 0.2, "common": 0.25}
+
+
 def beside_recorded(kinds: DataFrame, recorded: DataFrame, key: str = "extract_id") -> DataFrame:
     """The statistics beside those an older version recorded, and whether they agree.
 
-    Of several recorded rows of one text the newest counts.
+    Both recorded ratios are checked, ``word_ratio`` against the share of tokens
+    that look like words, ``common_ratio`` against that of common words. Of several
+    recorded rows of one text the newest counts.
     """
     newest = recorded.groupBy(key).agg(
         F.max_by(F.struct("words", "word_ratio", "common_ratio"), F.struct(F.col("scored_at").isNotNull(), F.col("scored_at"))).alias("old")
     )
+
+    def check(ratio: str) -> Column:
+        old = F.col(f"old.{ratio}_ratio")
+        return (
+            F.when(F.col("old").isNull(), "missing")
+            .when(old.isNull() | F.isnan(old), "no ratio")
+            .when(F.abs(old - F.col(f"{ratio}_share")) > FAR[ratio], "differs")
+            .otherwise("agrees")
+            .alias(f"{ratio}_check")
+        )
+
     return (
         kinds.dropDuplicates([key])
         .join(newest, key, "left")
         .select(
             key,
             "words",
+            F.round("word_share", 4).alias("word_share"),
             F.round("common_share", 4).alias("common_share"),
             "kind",
+            F.col("old.words").alias("recorded_words"),
             F.col("old.word_ratio").alias("recorded_word_ratio"),
             F.col("old.common_ratio").alias("recorded_common_ratio"),
-            F.when(F.col("old").isNull(), "missing")
-            .when(F.col("old.common_ratio").isNull() | F.isnan("old.common_ratio"), "no ratio")
-            .when(F.abs(F.col("old.common_ratio") - F.col("common_share")) > 0.25, "differs")
-            .otherwise("agrees")
-            .alias("check"),
+            check("word"),
+            check("common"),
         )
     )

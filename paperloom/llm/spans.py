@@ -47,7 +47,7 @@ SIZES = (1, 1, 1, 2, 2, 3, 3, 4, 4)
 GROWN = 2 * max(SIZES)
 LOST = sum(SIZES) + sum(n for n in SIZES if n > 1)
 #: Of the runs that start within so many characters at least one is exchanged (the one of least name).
-WINDOW = 56
+WINDOW = 96
 #: Texts parsed at once; keeps the arrays near the processor.
 CHUNK_CHARS = 1_000_000
 

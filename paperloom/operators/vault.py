@@ -15,12 +15,17 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
-def content_status(df: DataFrame, key: str, text: str, order: str, known: DataFrame | None = None) -> DataFrame:
+def digests(df: DataFrame, key: str, text: str, *columns: str) -> DataFrame:
+    """``(key, columns..., digest)``, each key once. Contents are hashed before rows delivered again meet, so no text is shuffled."""
+    return df.select(key, *columns, F.sha2(F.col(text), 256).alias("digest")).dropDuplicates([key])
+
+
+def content_status(df: DataFrame, key: str, order: str, known: DataFrame | None = None) -> DataFrame:
     """``(key, digest, status)``: ingested, duplicate or skipped (no content), the first of a content wins.
 
-    ``known`` has a column ``digest`` of contents ingested before.
+    ``df`` has a column ``digest``, and ``known`` one of contents ingested before.
     """
-    rows = df.select(key, F.col(order).alias("_o"), F.sha2(F.col(text), 256).alias("digest"))
+    rows = df.select(key, F.col(order).alias("_o"), "digest")
     blank = F.col("digest").isNull() | (F.col("digest") == F.sha2(F.lit(""), 256))
     # The first of each content comes from a combined aggregate, not a window: a
     # content that a third of all rows share costs one row per input partition.
@@ -153,13 +158,30 @@ def accuracy_slices(results: DataFrame) -> DataFrame:
     ``results`` has ``language, context, category_ok, date_ok, tags_found,
     tags_wanted``. No expected tags at all count as full recall.
     """
-    results.createOrReplaceTempView("_eval_results")
-    return results.sparkSession.sql(
-        """select coalesce(language, '*') as language, coalesce(context, '*') as context, count(*) as n,
-             cast(round(1000 * avg(cast(category_ok as int))) as int) as category_milli,
-             cast(round(1000 * avg(cast(date_ok as int))) as int) as date_milli,
-             cast(round(1000 * case when sum(tags_wanted) > 0 then sum(tags_found) / sum(tags_wanted) else 1 end) as int) as recall_milli
-           from _eval_results group by grouping sets ((), (language), (context))"""
+    milli = lambda c: F.round(1000 * c).cast("int")
+    recall = F.when(F.sum("tags_wanted") > 0, F.sum("tags_found") / F.sum("tags_wanted")).otherwise(1.0)
+    sliced = results.groupingSets([[], [F.col("language")], [F.col("context")]], F.col("language"), F.col("context")).agg(
+        F.count("*").alias("n"),
+        milli(F.avg(F.col("category_ok").cast("int"))).alias("category_milli"),
+        milli(F.avg(F.col("date_ok").cast("int"))).alias("date_milli"),
+        milli(recall).alias("recall_milli"),
+    )
+    return sliced.withColumns({c: F.coalesce(c, F.lit("*")) for c in ("language", "context")})
+
+
+def seen(notes: DataFrame, document: str = "doc_id", note: str = "note_id") -> DataFrame:
+    """``(document, note, notes)``: the first note of each document filed, and how many there are."""
+    return notes.filter(F.col(document).isNotNull()).groupBy(document).agg(F.min(note).alias(note), F.count("*").alias("notes"))
+
+
+def assembled(readings: DataFrame, key: str, order: str, text: str = "text", pages: str = "pages") -> DataFrame:
+    """``(key, text, pages)``: the texts of a note's readings in order, blank ones left out, readings delivered again once."""
+    rows = readings.filter(F.col(key).isNotNull() & (F.trim(text) != ""))
+    parts = F.array_sort(F.collect_set(F.struct(order, text, pages)))
+    return rows.groupBy(key).agg(parts.alias("p")).select(
+        key,
+        F.array_join(F.transform("p", lambda x: x[text]), "\n\n").alias("text"),
+        F.when(F.exists("p", lambda x: x[pages].isNotNull()), F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x[pages], F.lit(0)))).alias("pages"),
     )
 
 

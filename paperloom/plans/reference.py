@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, jsonfix, quality, rules, text
-from ..operators import tags, vault
+from ..operators import classify, notes, tags, vault
 from ..session import spread, table
 from . import sqltext as q
 
@@ -45,7 +45,9 @@ def _extracts(s, d, *columns):
 
 @query("quality_score", f"with {_E}, {q.quality_ctes('extracts', 'extract_id', 'pages')} select k as extract_id, cast(round(sc * 1000) as int) as score_milli, {q.VERDICT} as verdict, chars, words, common, garbled from scored")
 def quality_score(s, d):
-    return quality.score_texts(_extracts(s, d, "text", "pages"), "extract_id").drop("reasons")
+    # Scored before rows delivered again meet, so that no text is shuffled.
+    scored = quality.score_texts(table(s, d, "extract_results").select("extract_id", "text", "pages"), "extract_id")
+    return scored.drop("reasons").dropDuplicates(["extract_id"])
 
 
 @query("quality_histogram", f"with {q.quality_ctes('documents', 'doc_id', 'null::int')} select {q.VERDICT} as verdict, count(*) as n from scored group by 1")
@@ -189,12 +191,14 @@ def note_render(s, d):
     return _notes(s, d).join(found, "note_id").select("note_id", note.alias("note"))
 
 
-@query("note_round_trip", f"with {_N} select note_id, nullif(title, '') as title, strftime(document_date, '%Y-%m-%d') as date, list_filter(tags, lambda t: t is not null) as tags from notes where len(list_filter(tags, lambda t: t is not null and trim(t) <> '')) = len(tags) and len(tags) > 0")
+@query(
+    "note_round_trip",
+    f"with {_N} select note_id, nullif(replace(title, chr(10), ' '), '') as title, strftime(document_date, '%Y-%m-%d') as date, coalesce(list_filter(tags, lambda t: t is not null), []) as tags from notes",
+)
 def note_round_trip(s, d):
-    plain = _notes(s, d).filter(F.size("tags") > 0).filter(~F.exists("tags", lambda t: t.isNull() | (F.trim(t) == "")))
-    notes = plain.select("note_id", F.concat(_front(), F.lit("\n\nbody")).alias("content"))
+    content = _notes(s, d).select("note_id", F.concat(_front(), F.lit("\n\nbody")).alias("content"))
     c = F.col("content")
-    return notes.select("note_id", text.front_value(c, "title").alias("title"), text.front_value(c, "date").alias("date"), text.front_list(c, "tags").alias("tags"))
+    return content.select("note_id", text.front_value(c, "title").alias("title"), text.front_value(c, "date").alias("date"), text.front_list(c, "tags").alias("tags"))
 
 
 #: A line of the text that begins like a fence ends the block.
@@ -246,7 +250,7 @@ r as (select *, row_number() over (partition by digest order by extracted_at nul
 select extract_id, digest, case when digest is null or digest = sha256('') then 'skipped' when n > 1 then 'duplicate' else 'ingested' end as status from r""",
 )
 def sha256_dedupe(s, d):
-    return vault.content_status(_extracts(s, d, "text", "extracted_at"), "extract_id", "text", "extracted_at")
+    return vault.content_status(vault.digests(table(s, d, "extract_results"), "extract_id", "text", "extracted_at"), "extract_id", "extracted_at")
 
 
 @query(
@@ -257,7 +261,8 @@ select case when r.digest is null or r.digest = sha256('') then 'skipped' when k
 )
 def status_counts(s, d):
     known = table(s, d, "documents").filter("text <> ''").select(F.sha2("text", 256).alias("digest"))
-    return vault.content_status(_extracts(s, d, "text", "extracted_at"), "extract_id", "text", "extracted_at", known).groupBy("status").agg(F.count("*").alias("n"))
+    rows = vault.digests(table(s, d, "extract_results"), "extract_id", "text", "extracted_at")
+    return vault.content_status(rows, "extract_id", "extracted_at", known).groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("loose_documents", "select doc_id from documents where doc_id not in (select doc_id from document_meta where doc_id is not null)")
@@ -288,9 +293,7 @@ def index_upsert(s, d):
     f"with {_E} select note_id, string_agg(text, chr(10) || chr(10) order by extract_id) as text, sum(pages)::bigint as pages from extracts where note_id is not null and trim(text, ' ') <> '' group by note_id",
 )
 def text_assembly(s, d):
-    rows = _extracts(s, d, "note_id", "text", "pages").filter("note_id is not null and trim(text) <> ''")
-    parts = F.array_sort(F.collect_list(F.struct("extract_id", "text")))
-    return rows.groupBy("note_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"), F.sum("pages").alias("pages"))
+    return vault.assembled(table(s, d, "extract_results"), "note_id", "extract_id")
 
 
 @query(
@@ -299,7 +302,9 @@ def text_assembly(s, d):
 select note_id, case when length(e.text) >= 180 then e.text when trim(d.text, ' ') <> '' then d.text else coalesce(summary, '') end as text from notes n left join e using (note_id) left join documents d using (doc_id)""",
 )
 def note_text(s, d):
-    e = _extracts(s, d, "note_id", "text").filter("note_id is not null and text is not null").groupBy("note_id").agg(F.max_by("text", "extract_id").alias("read"))
+    # The text of the last reading is the same however often it was delivered.
+    readings = table(s, d, "extract_results").filter("note_id is not null and text is not null")
+    e = readings.groupBy("note_id").agg(F.max_by("text", "extract_id").alias("read"))
     docs = table(s, d, "documents").select("doc_id", F.col("text").alias("own"))
     chosen = F.when(F.length("read") >= 180, F.col("read")).when(F.trim("own") != "", F.col("own")).otherwise(F.coalesce("summary", F.lit("")))
     return _notes(s, d).join(e, "note_id", "left").join(docs, "doc_id", "left").select("note_id", chosen.alias("text"))
@@ -307,9 +312,6 @@ def note_text(s, d):
 
 # --- filters -----------------------------------------------------------------
 
-_SHOT = r"^(?:Screenshot|Skärmavbild)[\s_-]*\d{4}-\d{2}-\d{2}"
-
-
 @query(
     "file_kinds",
     f"""with {_N} select note_id, lower(regexp_extract(source_file, '\\.([^.]+)$', 1)) in ('png','jpg','jpeg','tif','tiff','bmp','gif','webp','heic') as is_image,
@@ -329,10 +331,10 @@ def file_kinds(s, d):
     )
 
 
-@query("needs_ocr", f"with {_E} select note_id, bool_or(coalesce(length(trim(text, ' ')), 0) < 10) as needs_ocr from extracts where note_id is not null group by 1")
+@query("needs_ocr", f"with {_E} select note_id, bool_or(coalesce(lower(regexp_extract(pdf_path, '\\.([^./]+)$', 1)) in ('png','jpg','jpeg','tif','tiff','bmp','gif','webp','heic'), false) or coalesce(length(trim(text, ' ')), 0) < 10) as needs_ocr from extracts where note_id is not null group by 1")
 def needs_ocr(s, d):
-    short = F.coalesce(F.length(F.trim("text")), F.lit(0)) < 10
-    return _extracts(s, d, "note_id", "text").filter("note_id is not null").groupBy("note_id").agg(F.bool_or(short).alias("needs_ocr"))
+    readings = table(s, d, "extract_results").filter("note_id is not null").select("note_id", F.col("pdf_path").alias("path"), "text")
+    return notes.needs_ocr(readings)
 
 
 @query("plausible_dates", f"with {_N} select note_id, document_date from notes where document_date between date '1900-01-01' and date '{TODAY}'")
@@ -340,7 +342,11 @@ def plausible_dates(s, d):
     return _notes(s, d).filter(dates.plausible(F.col("document_date"), TODAY)).select("note_id", "document_date")
 
 
-@query("tags_off_ledger", f"with {_N}, known as (select distinct canonical from tag_groups) select note_id, list_sort(list_distinct(list_filter(tags, lambda t: t is not null and t not in (select canonical from known)))) as off from notes")
+@query(
+    "tags_off_ledger",
+    f"""with {_N}, each as (select distinct note_id, t from (select note_id, unnest(tags) as t from notes) where t is not null and t not in (select canonical from tag_groups where canonical is not null)),
+per as (select note_id, list(t order by t) as off from each group by 1) select note_id, case when tags is not null then coalesce(off, []) end as off from notes left join per using (note_id)""",
+)
 def tags_off_ledger(s, d):
     known = table(s, d, "tag_groups").select(F.col("canonical").alias("tag")).distinct()
     notes = _notes(s, d).select("note_id", "tags")
@@ -350,10 +356,6 @@ def tags_off_ledger(s, d):
     return notes.join(per, "note_id", "left").select("note_id", F.when(F.col("tags").isNotNull(), filled).alias("off"))
 
 
-del SQL["tags_off_ledger"]
-SQL["tags_off_ledger"] = f"""with {_N}, each as (select distinct note_id, t from (select note_id, unnest(tags) as t from notes) where t is not null and t not in (select canonical from tag_groups where canonical is not null)),
-per as (select note_id, list(t order by t) as off from each group by 1) select note_id, case when tags is not null then coalesce(off, []) end as off from notes left join per using (note_id)"""
-
 # --- dates -----------------------------------------------------------------
 
 _LINE = "'Invoice date: ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10) || 'Due date: ' || strftime(o_orderdate + interval 30 day, '%d/%m/%Y')"
@@ -444,12 +446,13 @@ def resolve_date(s, d):
 
 @query(
     "retag_year",
-    f"with {_N} select note_id, list_transform(tags, lambda t: case when t = 'year-' || year(document_date) then 'year-' || year(processed_at) else t end) as tags from notes where tags is not null and document_date is not null and processed_at is not null and len(list_distinct(list_transform(list_filter(tags, lambda t: t is not null), lambda t: case when t = 'year-' || year(document_date) then 'year-' || year(processed_at) else t end))) = len(tags)",
+    f"""with {_N}, y as (select note_id, tags, coalesce('year-' || year(document_date), '') as was, coalesce('year-' || year(processed_at), '') as now from notes where tags is not null),
+p as (select *, coalesce(nullif(list_position(tags, was), 0), len(tags) + 1) as spot, list_filter(tags, lambda t: t is null or t <> was) as rest from y)
+select note_id, case when was = now then tags when now = '' or coalesce(list_contains(rest, now), false) then rest else list_concat(list_slice(rest, 1, least(spot, len(rest) + 1) - 1), [now], list_slice(rest, least(spot, len(rest) + 1), len(rest))) end as tags from p""",
 )
 def retag_year(s, d):
-    rows = _notes(s, d).filter("tags is not null and document_date is not null and processed_at is not null")
-    new = dates.retag_year(F.col("tags"), F.col("document_date"), F.col("processed_at"))
-    return rows.filter(~F.exists("tags", F.isnull) & (F.size(new) == F.size("tags"))).select("note_id", new.alias("tags"))
+    rows = _notes(s, d).filter("tags is not null")
+    return rows.select("note_id", dates.retag_year(F.col("tags"), F.col("document_date"), F.col("processed_at")).alias("tags"))
 
 
 # --- rules ------------------------------------------------------------------
@@ -581,9 +584,14 @@ def tag_election(s, d):
     return tags.elect(tags.census(_notes(s, d)))
 
 
-@query("tag_duplicates", f"with {_CENSUS} select first(tag order by n desc, length(tag), tag) as canonical, sum(n)::bigint as total, count(*) as spellings from census group by fp having count(*) > 1")
+#: Each fifth note writes its tags in the plural, so that there are spellings to put together.
+_PLURALS = _CENSUS.replace("select unnest(tags) as t from notes", "select unnest(case when note_id % 5 = 0 then list_transform(tags, lambda t: t || 's') else tags end) as t from notes")
+
+
+@query("tag_duplicates", f"with {_PLURALS} select first(tag order by n desc, length(tag), tag) as canonical, sum(n)::bigint as total, count(*) as spellings from census group by fp having count(*) > 1")
 def tag_duplicates(s, d):
-    return tags.duplicates(tags.census(_notes(s, d)))
+    plural = F.when(F.col("note_id") % 5 == 0, F.transform("tags", lambda t: F.concat(t, F.lit("s")))).otherwise(F.col("tags"))
+    return tags.duplicates(tags.census(_notes(s, d).withColumn("tags", plural)))
 
 
 @query(
@@ -601,15 +609,53 @@ def tag_canonicalise(s, d):
     return tags.canonical_map(_notes(s, d))
 
 
+@query("tag_protected")
+def tag_protected(s, d):
+    kept = table(s, d, "tag_groups").filter("protected").select(F.col("canonical").alias("tag"))
+    return tags.canonical_map(_notes(s, d), protected=kept)
+
+
+def _ledger(s, d):
+    total = F.aggregate(F.filter(F.map_values("counts"), lambda n: n.isNotNull()), F.lit(0).cast("bigint"), lambda a, n: a + n)
+    return table(s, d, "tag_groups").filter("canonical is not null and counts is not null").select("canonical", total.alias("total"))
+
+
+@query("tag_against_ledger")
+def tag_against_ledger(s, d):
+    return tags.against_ledger(_notes(s, d), _ledger(s, d))
+
+
+@query(
+    "tags_applied",
+    f"with {_N}, each as (select note_id, {q.slug("ltrim(t, '#')", 40)} as tag, place from (select note_id, unnest(tags) as t, generate_subscripts(tags, 1) as place from notes) where t is not null), "
+    "one as (select note_id, tag, min(place) as place from each where tag <> '' group by 1, 2), per as (select note_id, list(tag order by place) as tags from one group by 1) "
+    "select note_id, coalesce(per.tags, []) as tags from notes left join per using (note_id)",
+)
+def tags_applied(s, d):
+    rows = _notes(s, d)
+    same = tags.census(rows).select("tag", F.col("tag").alias("canonical"))
+    return tags.applied(rows, same)
+
+
+@query(
+    "ledger_recorded",
+    f"with {_N}, l as (select canonical, coalesce(list_sum(list_filter(map_values(counts), lambda x: x is not null)), 0)::bigint as total from tag_groups where canonical is not null and counts is not null), "
+    "w as (select t as canonical, count(*) as total from (select unnest(tags) as t from notes) where t <> '' group by 1) select canonical, sum(total)::bigint as total from (select * from l union all select * from w) group by 1",
+)
+def ledger_recorded(s, d):
+    return tags.recorded(_ledger(s, d), _notes(s, d))
+
+
 # --- ranking and planning --------------------------------------------------------
 
-_LATEST_Q = "latest as (select extract_id, arg_max(score, scored_at) as score, arg_max(verdict, scored_at) as verdict from (select * from text_quality where scored_at is not null and score is not null qualify count(*) over (partition by extract_id, scored_at) = 1) group by 1)"
+_LATEST_Q = "latest as (select extract_id, score, verdict from text_quality where scored_at is not null and score is not null qualify row_number() over (partition by extract_id order by scored_at desc, score desc, verdict desc nulls last) = 1)"
 
 
 def _scored(s, d):
+    """The newest score of each reading; of several of one time the highest."""
     rows = table(s, d, "text_quality").filter("scored_at is not null and score is not null")
-    once = rows.withColumn("c", F.count("*").over(Window.partitionBy("extract_id", "scored_at"))).filter("c = 1")
-    return once.groupBy("extract_id").agg(F.max_by("score", "scored_at").alias("score"), F.max_by("verdict", "scored_at").alias("verdict"))
+    best = F.max(F.struct("scored_at", "score", "verdict"))
+    return rows.groupBy("extract_id").agg(best.alias("b")).select("extract_id", "b.score", "b.verdict")
 
 
 @query(
@@ -682,32 +728,156 @@ def eval_misses(s, d):
     return _notes(s, d).join(table(s, d, "category_list").select("category"), "category", "left_anti").filter("category is not null").select("note_id", "category")
 
 
-@query("para_bucket", f"with {_N}, b as (select note_id, coalesce(nullif(lower(trim(para, ' ')), ''), case when lower(source_file) like 'doc%' then 'project' end, 'archive') as bucket from notes) select bucket, count(*) as n from b group by 1")
+@query(
+    "para_bucket",
+    f"with {_N}, b as (select note_id, lower(trim(para, ' ')) as own, coalesce(source_file, '') as file from notes) select bucket, count(*) as n from "
+    "(select case when own in ('project', 'area', 'resource', 'archive') then own when starts_with('Projects/' || file, 'Projects/doc') then 'project' else 'archive' end as bucket from b) group by 1",
+)
 def para_bucket(s, d):
-    named = F.lower(F.trim("para"))
-    bucket = F.coalesce(F.when(named != "", named), F.when(F.lower("source_file").startswith("doc"), "project"), F.lit("archive"))
-    return _notes(s, d).select(bucket.alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    # Files of one prefix stand for those that lie in the folder of projects.
+    folder = F.when(F.coalesce("source_file", F.lit("")).startswith("doc"), "Projects/").otherwise("Elsewhere/")
+    path = F.concat(folder, F.coalesce("source_file", F.lit("")))
+    buckets = {"project": "Projects", "area": "Areas", "resource": "Resources", "archive": "Archive"}
+    return _notes(s, d).select(notes.bucket(F.col("para"), path, buckets, "archive").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query(
-    "build_prompt",
-    "select doc_id, 'Describe the document below as JSON with title, category and tags.' || chr(10) || 'Categories: a, b' || chr(10) || 'Language: ' || coalesce(lang, 'unknown') || chr(10) || '---' || chr(10) || text as prompt from documents where text is not null",
-)
-def build_prompt(s, d):
-    from ..streaming.model import build_prompt as prompt
+def _categories(s, d) -> list[str]:
+    return [r[0] for r in table(s, d, "category_list").select("category").orderBy("category_code").collect()]  # a configured list
+
 
-    return table(s, d, "documents").filter("text is not null").select("doc_id", prompt(F.col("text"), ["a", "b"], F.col("lang")).alias("prompt"))
+@query("build_prompt")
+def build_prompt(s, d):
+    return table(s, d, "documents").select("doc_id", classify.build_prompt(F.coalesce("text", F.lit("")), _categories(s, d), F.col("source")).alias("prompt"))
 
 
 @query("model_answers")
 def model_answers(s, d):
-    from ..streaming.model import StubClient, ask, build_prompt as prompt
+    from ..streaming.model import StubClient, ask
 
-    rows = table(s, d, "documents").filter("text <> ''").select("doc_id", prompt(F.col("text"), ["a", "b"], F.col("lang")).alias("prompt"))
-    answered = ask(rows, StubClient).withColumn("a", jsonfix.parse_answer(F.col("response"), _ANSWER))
+    prompt = classify.build_prompt(F.col("text"), ["a", "b"])
+    answered = ask(table(s, d, "documents").filter("text <> ''").select("doc_id", prompt.alias("prompt")), StubClient)
+    answered = answered.withColumn("a", jsonfix.parse_answer(F.col("response"), _ANSWER))
     return answered.select("doc_id", "a.title", "a.category", "a.tags", "error")
 
 
+@query("classify_staged")
+def classify_staged(s, d):
+    """Memo for half of the documents, the offline model for the rest."""
+    from ..streaming.model import StubClient
+
+    docs, names = table(s, d, "documents"), _categories(s, d)
+    key = vault.memo_key(1, "stub", F.lit("en"), names, F.col("text"))
+    answer = F.to_json(F.struct(F.lit("Remembered").alias("title"), F.lit(names[0]).alias("category"), F.array(F.lit("a")).alias("tags"), F.lit(0.9).alias("confidence")))
+    memo = docs.filter("doc_id % 2 = 0 and text is not null").select(key.alias("memo_key"), answer.alias("response")).dropDuplicates(["memo_key"])
+    return classify.classify(docs, names, StubClient, memo).drop("memo_key", "response")
+
+
+@query(
+    "classify_stages",
+    "with e as (select *, regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]+', '', 'g') = '' as blank from documents), m as (select distinct text from documents where doc_id % 2 = 0 and text is not null) "
+    "select case when blank then 'empty' when text in (select text from m) then 'memo' else 'llm' end as classifier, count(*) as n from e group by 1",
+)
+def classify_stages(s, d):
+    return classify_staged(s, d).groupBy("classifier").agg(F.count("*").alias("n"))
+
+
+@query(
+    "classify_offline",
+    f"select doc_id, case when regexp_replace(coalesce(text, ''), '[\\s\\p{{Z}}]+', '', 'g') = '' then 'empty' else 'heuristic' end as classifier, {_heuristic_sql("coalesce(text, '')")} as category from documents",
+)
+def classify_offline(s, d):
+    return classify.classify(table(s, d, "documents"), ["a", "b"]).select("doc_id", "classifier", "category")
+
+
+@query(
+    "filename_title",
+    f"with {_N}, c as (select note_id, source_file, {q.clean_document_name(_STEM)} as name from notes) select note_id, case when source_file is null or name = '' then 'Untitled document' else name end as title from c",
+)
+def filename_title(s, d):
+    return _notes(s, d).select("note_id", classify.filename_title(F.col("source_file")).alias("title"))
+
+
+@query(
+    "path_template",
+    f"with {_N}, v as (select note_id, {q.safe_filename('category')} as c, {q.safe_filename('title')} as t, coalesce(strftime(document_date, '%Y'), 'untitled') as y from notes) select note_id, 'Notes/' || c || '/' || y || '/' || t as path from v",
+)
+def path_template(s, d):
+    values = {"root": F.lit("Notes"), "category": F.col("category"), "year": F.date_format("document_date", "yyyy"), "name": F.col("title")}
+    return _notes(s, d).select("note_id", notes.rendered_path("{root}/{category}/{year}/{name}", values).alias("path"))
+
+
+def _full_notes(s, d):
+    e = table(s, d, "extract_results").filter("text is not null and note_id is not null").groupBy("note_id").agg(F.max_by("text", "extract_id").alias("read"))
+    rows = _notes(s, d).withColumn("date", F.col("document_date")).withColumn("cssclasses", F.array(F.lit("scan"))).withColumn("attachment", F.concat(F.lit("files/"), "source_file"))
+    return rows.join(e, "note_id", "left")
+
+
+@query("note_full")
+def note_full(s, d):
+    rows = _full_notes(s, d)
+    return rows.select("note_id", notes.render(rows.columns, F.col("read")).alias("note"))
+
+
+@query(
+    "meta_round_trip",
+    f"""with {_N} select note_id, coalesce(replace(nullif(title, ''), chr(10), ' '), '') as title, try_cast(strftime(document_date, '%Y-%m-%d') as date) as date, coalesce(replace(nullif(category, ''), chr(10), ' '), '') as category,
+replace(nullif(amount, ''), chr(10), ' ') as amount, replace(nullif(para, ''), chr(10), ' ') as para, 'files/' || source_file as attachment, ['scan'] as cssclasses from notes""",
+)
+def meta_round_trip(s, d):
+    rows = _full_notes(s, d)
+    content = rows.select("note_id", notes.render(rows.columns, F.col("read")).alias("content"))
+    meta = notes.meta_from_note(F.col("content"))
+    return content.select("note_id", *[meta[k].alias(k) for k in ("title", "date", "category", "amount", "para", "attachment", "cssclasses")])
+
+
+@query(
+    "linked_in_order",
+    f"with {_N}, files as (select distinct 'files/' || source_file as path from notes where source_file is not null) select note_id, 'files/' || source_file as path, 0 as place from notes where source_file is not null and contains(source_file, ' ') = false and regexp_matches(source_file, '^[^%+\\]|#]+$')",
+)
+def linked_in_order(s, d):
+    rows = _notes(s, d).filter("source_file is not null")
+    files = rows.select(F.concat(F.lit("files/"), "source_file").alias("path")).distinct()
+    body = F.concat(F.lit("![["), "source_file", F.lit("]]\n[again](<"), "source_file", F.lit(">)\n![[files/"), "source_file", F.lit("]]"))
+    content = rows.filter(~F.col("source_file").contains(" ") & F.col("source_file").rlike(r"^[^%+\]|#]+$")).select("note_id", F.lit("files").alias("folder"), body.alias("content"))
+    return notes.linked_documents(content, files)
+
+
+@query(
+    "loose_files",
+    f"with {_N}, f as (select distinct source_file as file, 'files/' || source_file as path from notes where source_file is not null), l as (select source_file from notes where source_file is not null and note_id % 2 = 0) select path from f where file not in (select source_file from l)",
+)
+def loose_files(s, d):
+    rows = _notes(s, d).filter("source_file is not null")
+    files = rows.select(F.concat(F.lit("files/"), "source_file").alias("path")).distinct()
+    linked = rows.filter("note_id % 2 = 0").select(F.concat(F.lit("files/"), "source_file").alias("path"), F.col("source_file").alias("target"))
+    return notes.loose_files(files, linked)
+
+
+@query(
+    "plan_from_notes",
+    f"""with {_N} select note_id, case when title is null then 'failed' when not (coalesce(source_hash, '') <> '' or coalesce(classifier, '') <> '' or coalesce(source_file, '') <> '') then 'skipped' when doc_id is null then 'ocr' when note_id % 5 = 0 then 'relocate'
+when coalesce(category <> 'Other', false) or coalesce(tags, []) <> ['a'] then 'rewrite' else 'rewrite' end as kind, case when title is null then 'unreadable' when not (coalesce(source_hash, '') <> '' or coalesce(classifier, '') <> '' or coalesce(source_file, '') <> '') then 'not managed' when doc_id is null then 'no text' when note_id % 5 = 0 then 'path'
+when coalesce(category <> 'Other', false) then 'reclassified' when note_id % 2 = 0 then 'text style' when coalesce(tags, []) <> ['a'] then 'tags' else 'css classes' end as reason from notes""",
+)
+def plan_from_notes(s, d):
+    style = F.when(F.col("note_id") % 2 == 0, text.text_block(F.lit("words"), "plain")).otherwise(text.text_block(F.lit("words"), "callout"))
+    rows = _notes(s, d).withColumns(
+        {
+            "path": F.concat(F.lit("notes/"), F.col("note_id").cast("string"), F.lit(".md")), "content": F.when(F.col("title").isNotNull(), style),
+            "needs_ocr": F.col("doc_id").isNull(), "wanted_category": F.lit("Other"), "wanted_tags": F.array(F.lit("a")), "cssclasses": F.array().cast("array<string>"),
+        }
+    )
+    rows = rows.withColumn("wanted_path", F.when(F.col("note_id") % 5 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")))
+    return notes.plan(rows, "callout", ["scan"]).select("note_id", "kind", "reason")
+
+
+@query("dates_resolved")
+def dates_resolved(s, d):
+    docs = table(s, d, "documents").select("doc_id", "text")
+    rows = _notes(s, d).filter("doc_id is not null").join(docs, "doc_id").select("note_id", "text", F.col("source_file").alias("path"), "document_date", F.col("processed_at").cast("date").alias("created"))
+    return classify.resolve_dates(spread(rows), TODAY, created="created").select("note_id", "date", "date_source")
+
+
 @query("local_hosts", "select event_id, event_id % 2 = 0 as is_local from events")
 def local_hosts(s, d):
     from ..streaming.model import is_local
@@ -741,18 +911,18 @@ def ledger_listing(s, d):
 
 @query("seen_documents", f"with {_N} select doc_id, min(note_id) as note_id, count(*) as notes from notes where doc_id is not null group by 1")
 def seen_documents(s, d):
-    return _notes(s, d).filter("doc_id is not null").groupBy("doc_id").agg(F.min("note_id").alias("note_id"), F.count("*").alias("notes"))
+    return vault.seen(_notes(s, d))
 
 
 @query(
     "from_response",
-    f"with {_N} select note_id, substr(trim(coalesce(correspondent, ''), ' '), 1, 10) as correspondent, list_transform(list_filter(coalesce(subjects, []), lambda x: trim(coalesce(x, ''), ' ') <> '')[1:5], lambda x: substr(trim(x, ' '), 1, 80)) as subjects, lower(trim(coalesce(context, ''), ' ')) as context, substr(trim(coalesce(amount, ''), ' '), 1, 40) as amount, substr(trim(coalesce(currency, ''), ' '), 1, 8) as currency from notes",
+    f"with {_N} select note_id, substr(trim(coalesce(correspondent, ''), ' '), 1, 120) as correspondent, list_transform(list_filter(list_transform(coalesce(subjects, []), lambda x: trim(x, ' ')), lambda x: x is not null and x <> '')[1:5], lambda x: substr(x, 1, 80)) as subjects, lower(trim(coalesce(context, ''), ' ')) as context, substr(trim(coalesce(document_type, ''), ' '), 1, 60) as document_type, substr(trim(coalesce(reference, ''), ' '), 1, 80) as reference, substr(trim(coalesce(amount, ''), ' '), 1, 40) as amount, substr(trim(coalesce(currency, ''), ' '), 1, 8) as currency from notes",
 )
 def from_response(s, d):
-    clip = lambda c, n: F.substring(F.trim(F.coalesce(F.col(c), F.lit(""))), 1, n).alias(c)
-    subjects = F.filter(F.coalesce("subjects", F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit(""))) != "")
-    cut = F.transform(F.slice(subjects, 1, 5), lambda x: F.substring(F.trim(x), 1, 80)).alias("subjects")
-    return _notes(s, d).select("note_id", clip("correspondent", 10), cut, F.lower(F.trim(F.coalesce("context", F.lit("")))).alias("context"), clip("amount", 40), clip("currency", 8))
+    known = {f.name for f in table(s, d, "document_meta").schema}
+    answer = F.struct(*[F.col(n) if n in known else F.lit(None).cast("string").alias(n) for n, _ in classify.FIELDS])
+    fields = classify.clipped(F.col("a"))
+    return _notes(s, d).withColumn("a", answer).select("note_id", *[fields[n].alias(n) for n in ("correspondent", "subjects", "context", "document_type", "reference", "amount", "currency")])
 
 
 @query("verdict_by_backend", "select upper(trim(backend, ' ')) as backend, count(*) as readings, count(*) filter (length(coalesce(text, '')) < 60) as thin, sum(pages)::bigint as pages from (select distinct on (extract_id) * from extract_results order by extract_id, loaded_at) group by 1")

@@ -45,22 +45,32 @@ def keeper(names: list[str], path: Column) -> Column:
     return reduce(lambda a, b: a | b, [kinds[n] for n in names])
 
 
-def visible(path: Column) -> Column:
-    """No part of the path is hidden, and the file is no product of OCR."""
-    return ~path.rlike(r"/\.[^/]") & ~F.lower(path).endswith(".ocr.pdf")
+def visible(path: Column, root: str = "") -> Column:
+    """No part of the path below ``root`` is hidden, and the file is no product of OCR."""
+    top = root.split("://", 1)[-1].rstrip("/")
+    below = F.substring(path, F.locate(top, path) + len(top), F.length(path)) if top else path
+    return ~below.rlike(r"/\.[^/]") & ~F.lower(path).endswith(".ocr.pdf")
+
+
+def file_status(spark: SparkSession, path: str) -> str | None:
+    """``file``, ``folder`` or None if there is neither, as the path's own file system says."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return None if not files.exists(where) else "file" if files.getFileStatus(where).isFile() else "folder"
 
 
 def scan_documents(spark: SparkSession, folder: str, selectors: str = "all", content: bool = False) -> DataFrame:
-    """Documents below a folder: path, time, length and, if asked, content."""
+    """Documents below a folder in the order of their paths: path, time, length and, if asked, content. A file named itself is taken as it is."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = files.filter(visible(F.col("path")) & (is_image(F.col("path")) | is_pdf(F.col("path"))) & keeper(parse_selectors(selectors), F.col("path")))
-    return files if content else files.drop("content")
+    if file_status(spark, folder) != "file":
+        files = files.filter(visible(F.col("path"), folder) & (is_image(F.col("path")) | is_pdf(F.col("path"))) & keeper(parse_selectors(selectors), F.col("path")))
+    return (files if content else files.drop("content")).orderBy("path")
 
 
 def scan_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Notes below a folder, one row each with its whole content."""
     notes = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return notes.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).filter(visible(F.col("path")))
+    return notes.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).filter(visible(F.col("path"), folder))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -72,11 +82,11 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
-    """A stored JSON table; a missing or unreadable one, or one of another version, is empty."""
-    empty = spark.createDataFrame([], schema)
-    try:
-        rows = spark.read.schema(schema + (", version int" if version is not None else "")).json(path)
-        rows.limit(1).collect()
-    except Exception:
-        return empty
+    """A stored JSON table; a missing one, or one of another version, is empty, lines that are no JSON are left out.
+
+    Any other failure (of the network, of rights) is one.
+    """
+    if file_status(spark, path) is None:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema + (", version int" if version is not None else "")).option("mode", "DROPMALFORMED").json(path)
     return rows.filter(F.col("version") == version).drop("version") if version is not None else rows

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch
+from ..sources.scan import file_status
 
 
 def digests(stream: DataFrame, text: str = "text", watermark: tuple[str, str] | None = None) -> DataFrame:
@@ -33,11 +34,8 @@ def ingest_once(spark: SparkSession, path: str, schema, text: str = "text", chec
     out = f"{checkpoint}/ingested"
     source = path.rsplit("/", 1)
     # A single file is read through its folder, a folder of files as it is.
-    import os
-
-    local = path.removeprefix("file://")
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64)
-    stream = reader.parquet(path) if os.path.isdir(local) else reader.option("pathGlobFilter", source[1]).parquet(source[0])
+    stream = reader.parquet(path) if file_status(spark, path) == "folder" else reader.option("pathGlobFilter", source[1]).parquet(source[0])
     query = (
         digests(stream.select(text), text)
         .select("digest")

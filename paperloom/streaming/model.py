@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -35,26 +36,33 @@ def is_local(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("HOST")).rlike(r"^(localhost|127(\.\d+){3}|\[?::1\]?)$")
 
 
-def build_prompt(text: Column, categories: list[str], language: Column) -> Column:
-    head = "Describe the document below as JSON with title, category and tags.\nCategories: " + ", ".join(categories)
-    return F.concat(F.lit(head + "\nLanguage: "), F.coalesce(language, F.lit("unknown")), F.lit("\n---\n"), text)
-
-
-def ask(rows: DataFrame, make_client: Callable[[], Client], prompt: str = "prompt") -> DataFrame:
-    """``rows`` with ``response`` and ``error``; a failed call is a row."""
+def ask(rows: DataFrame, make_client: Callable[[], Client], prompt: str = "prompt", timed: bool = False) -> DataFrame:
+    """``rows`` with ``response`` and ``error``; a failed call is a row. If asked, also when each call ``began`` and its ``seconds``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for pdf in batches:
-            answers, errors = [], []
+            answers, errors, times = [], [], []
             for p in pdf[prompt]:
+                began = time.time()
                 try:
                     answers.append(client.chat_json(p))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001
                     answers.append(None)
                     errors.append(str(e)[:500])
-            yield pdf.assign(response=answers, error=errors)
+                times.append((began, time.time() - began))
+            clock = {"began": [t[0] for t in times], "seconds": [t[1] for t in times]} if timed else {}
+            yield pdf.assign(response=answers, error=errors, **clock)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", response string, error string"
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema + ", began double, seconds double" * timed)
+
+
+def progress(answered: DataFrame) -> DataFrame:
+    """One row about timed calls: how many, how many failed, the work, the time it took and how many ran at once on average."""
+    elapsed = F.max(F.col("began") + F.col("seconds")) - F.min("began")
+    return answered.agg(
+        F.count("*").alias("calls"), F.count("error").alias("failed"), F.sum("seconds").alias("work"), elapsed.alias("elapsed"),
+        F.try_divide(F.sum("seconds"), elapsed).alias("at_once"),
+    )

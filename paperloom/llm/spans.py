@@ -185,6 +185,16 @@ def _classes(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return materialize(hashed.join(first, "digest").select("doc", "rep").distinct(), "classes")
 
 
+#: Document ids that are broadcast at most; more are joined with a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def _ids(docs: DataFrame) -> DataFrame:
+    """Ids of documents, written, and broadcast if few enough: so the texts beside them stay where they are."""
+    ids = materialize(docs.distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _texts(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
     return docs.filter(F.length(text) >= least).select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
 
@@ -267,12 +277,12 @@ def sharing_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     cover = cover_of(least)
     classes = _classes(docs, key, text, least)
     texts = _texts(docs, key, text, least)
-    single = texts.join(classes.filter("doc <> rep").select("doc").distinct(), "doc", "left_anti")
+    single = texts.join(_ids(classes.filter("doc <> rep").select("doc")), "doc", "left_anti")
     found = materialize(_stretches(_shared_runs(single, cover)), "stretches")
     sure = found.filter(F.exists("stretches", lambda x: x["stop"] - x["at"] >= least)).select("doc_a", "doc_b").distinct()
     open_ = found.join(sure, ["doc_a", "doc_b"], "left_anti").select("doc_a", "doc_b", "shift", F.explode("stretches").alias("x")).select("doc_a", "doc_b", "shift", "x.*")
     open_ = materialize(open_, "open")
-    involved = open_.select(F.col("doc_a").alias("doc")).union(open_.select(F.col("doc_b").alias("doc"))).distinct()
+    involved = _ids(open_.select(F.col("doc_a").alias("doc")).union(open_.select(F.col("doc_b").alias("doc"))))
     needed = materialize(texts.join(involved, "doc", "left_semi").dropDuplicates(["doc"]), "texts")
     spans = sure.union(_long_enough(open_, needed, least))
     across = (
@@ -316,7 +326,7 @@ def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     is hashed, and those hashes that several texts have cover what is shared.
     """
     classes = _classes(docs, key, text, least)
-    single = _texts(docs, key, text, least).join(classes.filter("doc <> rep").select("doc").distinct(), "doc", "left_anti").dropDuplicates(["doc"])
+    single = _texts(docs, key, text, least).join(_ids(classes.filter("doc <> rep").select("doc")), "doc", "left_anti")
     runs = _shared_runs(single, cover_of(least), inner=True).groupBy("doc").agg(F.collect_list(F.struct("at", "length")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +337,10 @@ def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", least
                     [pa.array(np.full(len(start), doc, np.int64)), pa.array(start), pa.array(value.view(np.int64))], ["rep", "start", "hash"]
                 )
 
-    hashed = materialize(single.join(runs, "doc").select("doc", "text", "runs").mapInArrow(run, "rep bigint, start bigint, hash bigint"), "windows")
+    runs = materialize(runs, "places")
+    few = runs.count() <= BROADCAST_IDS
+    some = single.join(_ids(runs.select("doc")), "doc", "left_semi").dropDuplicates(["doc"]) if few else single.dropDuplicates(["doc"])
+    hashed = materialize(some.join(runs, "doc").select("doc", "text", "runs").mapInArrow(run, "rep bigint, start bigint, hash bigint"), "windows")
     several = hashed.groupBy("hash").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least <> most").select("hash")
     starts = hashed.join(several, "hash").select("rep", "start")
     # Stretches that overlap count their own part up to the next one's start.

@@ -38,12 +38,3 @@ def languages_named(label: str | None) -> frozenset[str]:
         return frozenset()
     label = _REGION.sub(r"\1", label)
     return frozenset(_BY_NAME[w] for w in _WORD.findall(label.lower()) if w in _BY_NAME)
-
-
-def function_weights() -> dict[str, dict[str, float]]:
-    """word -> language -> weight; a word of k languages weighs 1 / k in each."""
-    of: dict[str, list[str]] = {}
-    for code, words in FUNCTION_WORDS.items():
-        for w in words:
-            of.setdefault(w, []).append(code)
-    return {w: dict.fromkeys(codes, 1 / len(codes)) for w, codes in of.items()}

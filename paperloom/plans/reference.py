@@ -46,7 +46,7 @@ def _extracts(s, d, *columns):
 @query("quality_score", f"with {_E}, {q.quality_ctes('extracts', 'extract_id', 'pages')} select k as extract_id, cast(round(sc * 1000) as int) as score_milli, {q.VERDICT} as verdict, chars, words, common, garbled from scored")
 def quality_score(s, d):
     # Scored before rows delivered again meet, so that no text is shuffled.
-    scored = quality.score_texts(table(s, d, "extract_results").select("extract_id", "text", "pages"), "extract_id")
+    scored = quality.score_texts(spread(table(s, d, "extract_results").select("extract_id", "text", "pages")), "extract_id")
     return scored.drop("reasons").dropDuplicates(["extract_id"])
 
 
